@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import op5_html
 from .langid import op2_langid
 from .packing import op10_packing
 from .quality import op7_quality
+from .sharding import op3_sharding
 from .simhash import op8_simhash
+from .warc import op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": op2_langid,
+        "op3_sharding": op3_sharding,
+        "op4_warc": op4_warc,
+        "op5_html": op5_html,
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
         "op10_packing": op10_packing,
