@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op9_ann
+from .binary import op6_binary
 from .html import op5_html
 from .langid import op2_langid
 from .packing import op10_packing
@@ -21,8 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_warc": op4_warc,
         "op5_html": op5_html,
+        "op6_binary": op6_binary,
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
+        "op9_ann": op9_ann,
         "op10_packing": op10_packing,
     }
 
