@@ -143,9 +143,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, capacity:
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in MANIFEST.split(", ")])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1)):
-            docs.append(doc.as_py())
-            ids.append(np.append(tokenizer.encode(text.as_py()), END_ID).astype("<u2"))
+        for doc, found in zip(batch.column(0).to_pylist(), tokenizer.encode_all(batch.column(1).to_pylist())):
+            docs.append(doc)
+            ids.append(np.append(found, np.uint32(END_ID)).astype("<u2"))
             tokens += len(ids[-1])
             if tokens >= WINDOW_TOKENS:
                 yield flush()

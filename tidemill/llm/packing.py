@@ -107,9 +107,9 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, l
         ids.clear()
 
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1)):
-            docs.append(doc.as_py())
-            ids.append(np.append(tokenizer.encode(text.as_py()), np.uint32(END_ID)).astype(np.uint32))
+        for doc, found in zip(batch.column(0).to_pylist(), tokenizer.encode_all(batch.column(1).to_pylist())):
+            docs.append(doc)
+            ids.append(np.append(found, np.uint32(END_ID)).astype(np.uint32))
             tokens += len(ids[-1])
             if tokens >= WINDOW_TOKENS:
                 yield from packed()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
+from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -11,6 +14,10 @@ import numpy as np
 END_ID = 1
 #: Distinct words kept by a worker; beyond it the cache starts anew (results don't depend on it).
 CACHE_WORDS = 400_000
+#: End marks that the pre-tokenizer cuts off in one piece.
+MARKS = ".,!?;:%$&*#|"
+#: Characters of texts that are looked up together.
+BLOCK_CHARS = 2_000_000
 
 
 def word_tokenizer_path() -> str:
@@ -43,40 +50,88 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # byte-level alphabet: printable Latin-1 stands for itself, the other bytes for what follows 255, in order
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.bytes = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.tails: dict[str, list[int]] = {}
+        self.fast = self._agrees()
         self._clear()
 
+    def _agrees(self) -> bool:
+        """Whether the short way gives this tokenizer's ids for letters and marks."""
+        self.tails.clear()
+        samples = ["The", "over,", "\u00c9t\u00e9.", "stra\u00dfe!!", "\u0437\u0438\u043c\u0430;", "\u4e2d\u6587", "a", "zzxqj??"]
+        whole = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in samples]
+        return [self._fast(x) for x in samples] == whole and self.tokenizer.encode(" ".join(samples), add_special_tokens=False).ids == list(chain.from_iterable(whole))
+
     def _clear(self) -> None:
         self.words = Words()
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
+    def _fast(self, word: str) -> list[int] | None:
+        """Ids of letters with end marks behind them, by the model alone; None if the whole tokenizer has to look."""
+        core = word.rstrip(MARKS)
+        if not core.isalpha() or (not core.isascii() and not is_normalized("NFC", core)):
+            return None
+        low = core.lower()
+        if not low.isascii():
+            if not low.isalpha() or "\u03a3" in core:  # lower case that isn't letter by letter
+                return None
+            low = low.encode("utf-8").decode("latin-1").translate(self.bytes)
+        ids = [t.id for t in self.model.tokenize(low)]
+        tail = word[len(core) :]
+        if tail:
+            if tail not in self.tails:
+                self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            ids += self.tails[tail]
+        return ids
+
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
-        parts, counts = [self.ids], [np.diff(self.at)]
-        for i in range(0, len(new), 8192):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 8192], add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            counts.append(n)
-            parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
-        self.ids = np.concatenate(parts)
-        self.at = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """uint32 ids, without special tokens; none for null and empty texts."""
-        if not text:
-            return np.zeros(0, np.uint32)
+        collecting = gc.isenabled()
+        gc.disable()  # the many short lists hold no cycles
+        found = [self._fast(w) for w in new] if self.fast else [None] * len(new)
+        slow = [i for i, ids in enumerate(found) if ids is None]
+        for at in range(0, len(slow), 8192):
+            some = slow[at : at + 8192]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False)):
+                found[i] = e.ids
+        if collecting:
+            gc.enable()
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+
+    def _block(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE_WORDS:
             self._clear()
-        words = text.replace("\n", " ").split(" ")
-        w = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        w = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         if self.words.new:
             self._learn()
         start, n = self.at[w], self.at[w + 1] - self.at[w]
-        total = int(n.sum())
-        if not total:
-            return np.zeros(0, np.uint32)
-        first = np.cumsum(n) - n
-        return self.ids[np.arange(total) + np.repeat(start - first, n)]
+        ends = np.cumsum(n)
+        flat = self.ids[np.arange(int(ends[-1])) + np.repeat(start - ends + n, n)]
+        return np.split(flat, ends[np.cumsum(sizes)[:-1] - 1])
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """uint32 ids of each text, without special tokens; none for null and empty texts."""
+        block: list[str] = []
+        size = 0
+        for text in texts:
+            block.append(text or "")
+            size += len(block[-1])
+            if size >= BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+        if block:
+            yield from self._block(block)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_all([text]))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
