@@ -12,6 +12,7 @@ from .html import op5_html
 from .langid import op2_langid
 from .packing import op10_packing
 from .quality import op7_quality
+from .sentencepiece import op1_sentencepiece
 from .sharding import op3_sharding
 from .simhash import op8_simhash
 from .warc import op4_warc
@@ -19,6 +20,7 @@ from .warc import op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_langid": op2_langid,
         "op3_sharding": op3_sharding,
         "op4_warc": op4_warc,
