@@ -61,12 +61,9 @@ def words(text: Column) -> Column:
 def repeat_words(w: Column) -> Column:
     """Words inside WINDOW-word windows whose text occurs twice or more, each word once.
 
-    A window's key is made of 64-bit hashes doubled three times (1, 2, 4, 8 words). Only a row with equal keys is sorted.
+    A window's key is a 64-bit hash of its words. Only a row with equal keys is sorted.
     """
 
-    def wider(h: Column, step: int) -> Column:
-        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + step)))
-
     def starts(keys: Column) -> Column:
         order = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
         twice = _let(order, lambda s: F.filter(s, lambda x, j: x["k"].eqNullSafe(F.get(s, j - 1)["k"]) | x["k"].eqNullSafe(F.get(s, j + 1)["k"])))
@@ -79,25 +76,42 @@ def repeat_words(w: Column) -> Column:
     def counted(keys: Column) -> Column:
         return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(_let(starts(keys), covered))
 
-    one = F.transform(w, lambda x: F.xxhash64(x))
-    eight = _let(one, lambda a: _let(wider(a, 1), lambda b: _let(wider(b, 2), lambda c: wider(c, 4))))
-    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(_let(eight, counted)).cast("long")
+    def keys(x: Column) -> Column:
+        n = F.greatest(F.size(x) - (WINDOW - 1), F.lit(0))
+        windows = F.arrays_zip(*[F.slice(x, 1 + i, n) for i in range(WINDOW)])
+        return F.transform(windows, lambda y: F.xxhash64(y))
+
+    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(_let(_let(w, keys), counted)).cast("long")
+
+
+def unpunctuated(line: Column) -> Column:
+    """True for a line that is long enough for a sentence and has no end mark anywhere."""
+    return ~line.rlike("[.!?\u2026\u3002\uff01\uff1f:;]") & (F.size(words(line)) >= PUNCTUATION_FROM)
+
+
+def _has_phrase(low: Column) -> Column:
+    out = F.lit(False)
+    for phrase in BOILERPLATE:
+        out = out | low.contains(phrase)
+    return out
 
 
 def line_fails(line: Column) -> Column:
     """True for a line with words that breaks a line rule; blank lines pass."""
-    n = F.size(words(line))
-    low = F.lower(line)
-    bars = F.regexp_count(line, F.lit(r"(?:^|\s)(?:[|»›·•]|>{1,2})(?=\s|$)"))
-    navigation = (bars >= NAV_MIN) & (bars * NAV_WORDS >= n)
-    symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]+(?=\s|$)")) * 100 > n * MAX_SYMBOL_PERCENT
-    shouts = F.regexp_count(line, F.lit(r"!{2,}(?=\s|$)")) * 100 > n * MAX_SHOUT_PERCENT
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    # a long line is no sentence if it has no end mark anywhere
-    unpunctuated = (n >= PUNCTUATION_FROM) & ~line.rlike(r"""[.!?…。！？:;]""")
-    return (n > 0) & (navigation | symbols | shouts | boilerplate | unpunctuated)
+
+    def marks(n: Column) -> Column:
+        bars = F.regexp_count(line, F.lit(r"(?:^|\s)(?:[|»›·•]|>{1,2})(?=\s|$)"))
+        navigation = (bars >= NAV_MIN) & (bars * NAV_WORDS >= n)
+        symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]+(?=\s|$)")) * 100 > n * MAX_SYMBOL_PERCENT
+        shouts = F.regexp_count(line, F.lit(r"!{2,}(?=\s|$)")) * 100 > n * MAX_SHOUT_PERCENT
+        return (n > 0) & (navigation | symbols | shouts)
+
+    return unpunctuated(line) | _let(F.size(words(line)), marks) | _let(F.lower(line), _has_phrase)
+
+
+def suspicious(text: Column) -> Column:
+    """Whether any rule but the one on punctuation can concern a line of the text; false for nearly all texts."""
+    return text.rlike("[#*$%&|<>\u00bb\u203a\u00b7\u2022]|!!") | _has_phrase(F.lower(text))
 
 
 def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -114,7 +128,7 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
         {
             "__words": words(text),
             "__worded": worded,
-            "__passed": F.filter(lines, lambda x: ~line_fails(x)),
+            "__passed": F.when(suspicious(text), F.filter(lines, lambda x: ~line_fails(x))).otherwise(F.filter(lines, lambda x: ~unpunctuated(x))),
         }
     )
     out = out.withColumns(
