@@ -56,9 +56,8 @@ def presence(texts: list[str]) -> np.ndarray:
             size += len(texts[end]) + 2
             end += 1
         group = [t.lower() for t in texts[at:end]]
-        cps = table[np.frombuffer(("\n" + "\n".join(group) + "\n").encode("utf-32-le", "replace"), np.uint32)]
-        row = np.repeat(np.arange(at, end, dtype=np.int64), [len(t) + 1 for t in group])
-        row = np.concatenate([[at], row])
+        cps = table[np.frombuffer("".join(f"\n{t}\n" for t in group).encode("utf-32-le", "replace"), np.uint32)]
+        row = np.repeat(np.arange(at, end, dtype=np.int64), [len(t) + 2 for t in group])
         again = (cps == 32) & (np.concatenate([[0], cps[:-1]]) == 32)  # runs of blanks are one
         again &= np.concatenate([[-1], row[:-1]]) == row
         cps, row = cps[~again].astype(np.uint64), row[~again] * DIMENSIONS
@@ -78,45 +77,44 @@ def presence(texts: list[str]) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray  # DIMENSIONS x landmarks, float32
-    weights: np.ndarray  # landmarks + 1 x languages, float32
+    landmarks: np.ndarray  # DIMENSIONS x landmarks, 0 or 1, float32: products are whole numbers, exact in any order
+    weights: np.ndarray  # landmarks + 1 x languages, for normalised kernels and a constant
 
-    def features(self, present: np.ndarray) -> np.ndarray:
-        own = np.maximum(present.sum(axis=1, dtype=np.float32), 1)
-        return (present.astype(np.float32) @ self.landmarks) / np.sqrt(own)[:, None]
+    def kernels(self, present: np.ndarray) -> np.ndarray:
+        """Normalised kernel of each text with each landmark."""
+        own = np.maximum(present.sum(axis=1, dtype=np.int64), 1)
+        marks = np.maximum(self.landmarks.sum(axis=0, dtype=np.float64), 1)
+        return (present.astype(np.float32) @ self.landmarks).astype(np.float64) / np.sqrt(own[:, None] * marks)
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; texts need a letter."""
         labels: list[str] = []
         scores = []
         for i in range(0, len(texts), BATCH_TEXTS):
-            k = self.features(presence(texts[i : i + BATCH_TEXTS]))
-            f = k @ self.weights[:-1] + self.weights[-1]
+            f = (self.kernels(presence(texts[i : i + BATCH_TEXTS])) @ self.weights[:-1] + self.weights[-1]).round(9)
             best = f.argmax(axis=1)
             labels += [self.languages[b] for b in best]
-            scores.append(np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1))
-        return labels, np.concatenate(scores).astype(np.float64) if scores else np.zeros(0)
+            scores.append(np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1).round(9))
+        return labels, np.concatenate(scores) if scores else np.zeros(0)
 
 
 def fit_texts(texts: list[str], langs: list[str]) -> Model:
     """Nyström map to the landmarks' whitened space, then ridge regression to +1 / -1 for each language."""
     languages = sorted(set(langs))
     if not languages:
-        return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((1, 0), np.float32))
+        return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((1, 0)))
     y = np.array([languages.index(x) for x in langs])
     present = presence(texts)
     chosen = np.concatenate([np.flatnonzero(y == c)[:LANDMARKS] for c in range(len(languages))])
-    marks = present[chosen].astype(np.float64)
-    marks /= np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    model = Model(languages, present[chosen].T.astype(np.float32), np.zeros((1, 1)))
+    values, vectors = np.linalg.eigh(model.kernels(present[chosen]))
     root = vectors / np.sqrt(np.maximum(values, 1e-8)) * (values > 1e-8)
-    model = Model(languages, marks.T.astype(np.float32), np.zeros((1, 1), np.float32))
-    x = model.features(present).astype(np.float64) @ root
+    x = model.kernels(present) @ root
     x = np.hstack([x, np.ones((len(x), 1))])
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = 1.0 / np.bincount(y, minlength=len(languages))[y]  # languages weigh alike
     w = np.linalg.solve(x.T @ (x * share[:, None]) + RIDGE * np.eye(x.shape[1]), x.T @ (target * share[:, None]))
-    model.weights = np.vstack([root @ w[:-1], w[-1:]]).astype(np.float32)
+    model.weights = np.vstack([root @ w[:-1], w[-1:]])
     return model
 
 
