@@ -21,6 +21,8 @@ ROUNDS = 6
 SALTS = 64
 #: Steps in which requests for a shard are admitted.
 STEPS = 1024
+#: A shard with less room than this part of its quota counts as full for groups that move in parts.
+ROOM = 50
 #: Rows in a bucket, about, when slots are numbered.
 BUCKET_ROWS = 20_000
 
@@ -41,14 +43,16 @@ def _round(cells: DataFrame, quota: DataFrame, total: int, shards: int) -> DataF
     """One round: ``cells`` has label, ``quota`` (label, cap) one row per shard."""
     used = cells.groupBy("label").agg(F.sum("n").alias("used"))
     room = quota.join(used, "label", "left").select("label", (F.col("cap") - F.coalesce("used", F.lit(0))).alias("room"))
-    held = cells.groupBy("grp", "label").agg(F.sum("n").alias("held"))
-    open_ = held.join(F.broadcast(room.where("room > 0")), "label")  # a row per shard
+    held = cells.groupBy("grp", "label").agg(F.sum("n").alias("held"), F.first("size").alias("of"))
+    # a group that moves cell by cell leaves a shard alone that is all but full, and goes to its next best
+    alone = lambda size: size * STEPS > F.lit(total) / shards
+    least = F.when(alone(F.col("of")), F.greatest(F.lit(1.0), F.lit(total) / shards / ROOM)).otherwise(F.lit(1.0))
+    open_ = held.join(F.broadcast(room), "label").where(F.col("room") >= least)  # room: a row per shard
     best = open_.groupBy("grp").agg(F.max(F.struct("held", (-F.col("label")).alias("t"))).alias("b")).select("grp", F.col("b.held").alias("most"), (-F.col("b.t")).alias("target"))
-    asked = cells.join(held, ["grp", "label"]).join(best, "grp", "left")
+    asked = cells.join(held.drop("of"), ["grp", "label"]).join(best, "grp", "left")
     moves = (F.col("target") != F.col("label")) & ((F.col("most") > F.col("held")) | ((F.col("most") == F.col("held")) & (F.col("target") < F.col("label"))))
     # small groups ask as one; a group that could not fit a step asks cell by cell
-    alone = F.col("size") * STEPS > F.lit(total) / shards
-    step = F.when(alone, _share("step", STEPS, "grp", "first", "salt")).otherwise(_share("step", STEPS, "grp"))
+    step = F.when(alone(F.col("size")), _share("step", STEPS, "grp", "first", "salt")).otherwise(_share("step", STEPS, "grp"))
     asked = asked.withColumn("moves", F.coalesce(moves, F.lit(False))).withColumn("step", step)
     wanted = asked.where("moves").groupBy("target", "step").agg(F.sum("n").alias("n"))
     running = wanted.withColumn("sum", F.sum("n").over(Window.partitionBy("target").orderBy("step")))
