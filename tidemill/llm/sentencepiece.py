@@ -262,7 +262,7 @@ class Codec:
                 end += 1
             if len(self.words) > CACHE_WORDS:
                 self._clear()
-            split = [self.words_of((" " if self.model.prefix else "") + t) if t else [] for t in texts[at:end]]
+            split = [self.words_of((" " if self.model.prefix else "") + t.replace(MARK, " ")) if t else [] for t in texts[at:end]]
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             w = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
             if self.words.new:
