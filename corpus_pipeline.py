@@ -25,6 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
+def _one_of_nameless(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """One document of each group in which no document has an id; ``prints``: the fingerprints of such groups."""
+    rows = docs.where("doc_id is null").withColumn("__h", F.xxhash64("text"))
+    inside = simhash.fingerprints(rows, "__h").join(prints, "fp", "left_semi").select(F.col("doc_id").alias("__h"))
+    rows = rows.join(inside, "__h", "left_semi")
+    first = simhash.near_duplicates(rows, "__h").where("doc_id = component_id").select(F.col("doc_id").alias("__h"))
+    return rows.join(first, "__h", "left_semi").dropDuplicates(["__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked fingerprints, the document with the smallest id."""
     found = simhash.near_duplicates(docs)
@@ -32,9 +41,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = docs.join(keep.distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
     if keep.groupBy("__id").count().where("count > 1").limit(1).count():  # ids that occur twice: any one of their rows
         kept = kept.dropDuplicates(["doc_id"])
-    nameless = found.where("component_id is null").limit(1).count()
-    if nameless:  # groups without any id: one row for each fingerprint component can't be named, so one for each text
-        kept = kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    nameless = found.where("component_id is null").select("fp").distinct()
+    if nameless.limit(1).count():
+        kept = kept.unionByName(_one_of_nameless(docs, nameless))
     return kept
 
 
