@@ -10,6 +10,7 @@ from .ann import op9_ann
 from .binary import op6_binary
 from .html import op5_html
 from .langid import op2_langid
+from .oracles import QUALITY, WARC
 from .packing import op10_packing
 from .quality import op7_quality
 from .sentencepiece import op1_sentencepiece
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC, "op7_quality": QUALITY}
