@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import END_ID, word_tokenizer, word_tokenizer_path
+from .tokens import END_ID, encoded, word_tokenizer, word_tokenizer_path
 
 CAPACITY, PAD_ID = 2048, 0
 #: Tokens gathered before a window is packed and written as one file.
@@ -143,7 +143,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, capacity:
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in MANIFEST.split(", ")])
 
     for batch in batches:
-        for doc, found in zip(batch.column(0).to_pylist(), tokenizer.encode_all(batch.column(1).to_pylist())):
+        for doc, found in encoded(batch, tokenizer):
             docs.append(doc)
             ids.append(np.append(found, np.uint32(END_ID)).astype("<u2"))
             tokens += len(ids[-1])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import END_ID, word_tokenizer, word_tokenizer_path
+from .tokens import END_ID, encoded, word_tokenizer, word_tokenizer_path
 
 CAPACITY = 2048
 #: Cost of a token, and of a pair of tokens of one piece.
@@ -107,7 +107,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, l
         ids.clear()
 
     for batch in batches:
-        for doc, found in zip(batch.column(0).to_pylist(), tokenizer.encode_all(batch.column(1).to_pylist())):
+        for doc, found in encoded(batch, tokenizer):
             docs.append(doc)
             ids.append(np.append(found, np.uint32(END_ID)).astype(np.uint32))
             tokens += len(ids[-1])

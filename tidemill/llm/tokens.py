@@ -13,11 +13,11 @@ import numpy as np
 #: Id that ends each document.
 END_ID = 1
 #: Distinct words kept by a worker; beyond it the cache starts anew (results don't depend on it).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: End marks that the pre-tokenizer cuts off in one piece.
 MARKS = ".,!?;:%$&*#|"
 #: Characters of texts that are looked up together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def word_tokenizer_path() -> str:
@@ -134,6 +134,13 @@ class WordTokenizer:
         return next(self.encode_all([text]))
 
 
+def encoded(batch, tokenizer: WordTokenizer, rows: int = 512) -> Iterator[tuple[object, np.ndarray]]:
+    """Id and ids of each row of a record batch (id, text), a few rows in memory at a time."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield from zip(part.column(0).to_pylist(), tokenizer.encode_all(part.column(1).to_pylist()))
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
