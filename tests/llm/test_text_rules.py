@@ -206,7 +206,14 @@ def test_host_paths_win_over_a_page_that_is_odd(spark):
     assert [tuple(r) for r in html.host_paths(pages(spark, rows).withColumn("host", html.host(html.F.col("url")))).collect()] == [("h.org", "/body/div.story")]
 
 
-@pytest.mark.parametrize("text", ["<", "<p", "<p class='x", "<script>never ends", "<!-- never ends", "</div></div>", "<div>" * 3000 + "x", "&amp &#x110000; &nope;", "a < b > c"])
+@pytest.mark.parametrize("classes", ["layout has-sidebar", "content-sidebar-wrap", "page with-header noSidebar", "site-header-fixed"])
+def test_wrappers_named_after_their_parts_stay(classes):
+    page = f"""<body><div class="{classes}"><div class="menu">Home and away</div><main><h1>Title</h1><p>A sentence of the article.</p><div class="notice">Mind this</div></main>
+    <div class="sidebar"><p>Something else that is long, much longer than the article itself is.</p></div></div></body>"""
+    assert html.Page(page).text(None) == "Title\nA sentence of the article."
+
+
+@pytest.mark.parametrize("text", ["<", "<p", "<p class='x", "<script>never ends", "<!-- never ends", "</div></div>", "<div>" * 50_000 + "x" + "</p></div>" * 50_000, "&amp &#x110000; &nope;", "a < b > c"])
 def test_broken_pages(text):
     html.Page(text).text(None)
 

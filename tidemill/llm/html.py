@@ -7,8 +7,10 @@ is extracted again with its host's winning path, unless the page doesn't have it
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +24,9 @@ DEEPER = 0.6
 #: A host's path is used if it holds this share of the page's own best score.
 AGREES = 0.5
 
+#: Characters of a path beyond which its upper part is replaced by a digest (nesting can be very deep).
+LONG_PATH = 400
+
 # HTML element names by role.
 RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "math", "object", "select", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,6 +41,8 @@ BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|contact|cookies?|copyright|disqus|dialog|disclaimer|discussion|donate|footer|gdpr|header|legal|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|paywall|popup|promo|promotion|recommended|related|replies|reply|respond|responses|search|share|sharing|sidebar|signup|site-?header|site-?footer|skip|social|sponsor|sponsored|subscribe|tags|toc|toolbar|topbar|widget|complementary|contentinfo|alert|alertdialog)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Layout classes that only say whether there is a sidebar or the like.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[-_]\w+", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=\s|$|/)""", re.I)
 _SPACE = re.compile(r"[\s​﻿]+")
@@ -48,7 +55,7 @@ def _marks(attrs: str) -> tuple[str, bool]:
     words = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     classes = ".".join(sorted(re.sub(r"\d+", "0", c).lower() for c in found.get("class", "").split()))
-    return classes, hidden or bool(words.strip() and BOILER.search(_CAMEL.sub("-", words)))
+    return classes, hidden or bool(words.strip() and BOILER.search(_LAYOUT.sub("", _CAMEL.sub("-", words))))
 
 
 class Page:
@@ -57,13 +64,18 @@ class Page:
     def __init__(self, html: str):
         self.paths: list[str] = [""]
         self.parent: list[int] = [-1]
+        self.marked: list[bool] = [False]  # boilerplate by its classes; not if the page's heading or main part is in it
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
         self._parse(html)
+        for c in range(1, len(self.paths)):
+            self.marked[c] = self.marked[c] or self.marked[self.parent[c]]
+        self.blocks = [b for b in self.blocks if not self.marked[b[0]]]
 
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, boilerplate
         text: list[str] = []
         links, at, end = 0, 0, len(html)
+        opened: Counter[str] = Counter()
         linked = 0
 
         def flush() -> None:
@@ -104,23 +116,33 @@ class Page:
                 continue
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if opened[tag]:
+                    while True:
+                        top = stack.pop()[0]
+                        opened[top] -= 1
+                        if top == tag:
+                            break
                 continue
             while len(stack) > 1 and tag in ENDS.get(stack[-1][0], ()):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             classes, boiler = _marks(m[3]) if m[3] else ("", False)
             _, container, inside = stack[-1]
+            if tag in ("h1", "main") and not inside and not boiler:
+                for _, c, _ in stack:
+                    self.marked[c] = False
             if tag in CONTAINER:
-                self.paths.append(f"{self.paths[container]}/{tag}" + (f".{classes}" if classes else ""))
+                above = self.paths[container]
+                if len(above) > LONG_PATH:
+                    above = hashlib.md5(above.encode()).hexdigest()
+                self.paths.append(f"{above}/{tag}" + (f".{classes}" if classes else ""))
                 self.parent.append(container)
                 container = len(self.paths) - 1
                 # a page is never boilerplate as a whole
-                boiler = boiler and tag not in ("html", "body")
+                self.marked.append(boiler and tag not in ("html", "body"))
+                boiler = False
             if not m[3].endswith("/"):
                 stack.append((tag, container, inside or boiler or tag in DROPPED))
+                opened[tag] += 1
         flush()
 
     def best(self) -> tuple[int, float]:
