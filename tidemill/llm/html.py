@@ -38,14 +38,16 @@ ENDS = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt",
 
 # Words of class, id and role attributes that mark what isn't the article.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|contact|cookies?|copyright|disqus|dialog|disclaimer|discussion|donate|footer|gdpr|header|legal|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|paywall|popup|promo|promotion|recommended|related|replies|reply|respond|responses|search|share|sharing|sidebar|signup|site-?header|site-?footer|skip|social|sponsor|sponsored|subscribe|tags|toc|toolbar|topbar|widget|complementary|contentinfo|alert|alertdialog)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?(?:slot|box|unit|sense|banner|wrap\w*|container)?|advert\w*|alert|alertdialog|banner\w*|breadcrumb\w*|comment\w*|complementary|consent|contact|contentinfo|cookie\w*|copyright|dialog|disclaimer|"
+    r"discussions?|disqus|donate|feedback|footer\w*|gdpr|header\w*|legal|login\w*|masthead|menu\w*|modal|\w*nav|navbar|navigation|newsletter\w*|notices?|notification\w*|overlay|pager|pagination|paywall|popup\w*|promo|promotions?|"
+    r"recommend\w*|related\w*|replies|reply|respond|responses|search|share|sharing|sidebar\w*|signup|skip|social\w*|sponsor\w*|subscri\w+|tags|toc|toolbar|topbar|widget\w*)(?:$|[\s_-]|\d)",
     re.I,
 )
 #: Layout classes that only say whether there is a sidebar or the like.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[-_]\w+", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=\s|$|/)""", re.I)
-_SPACE = re.compile(r"[\s​﻿]+")
+_SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
