@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -19,18 +20,23 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that Python workers can import it wherever they run."""
+    """Give executors this package through the shared folder, so that Python workers can import it wherever they run."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "tidemill_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = f"{shared_dir(spark)}/tidemill_code.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
 
