@@ -166,7 +166,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
     path = tokenizer_path or word_tokenizer_path()
     rows = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.written(rows.mapInArrow(lambda it: _write(it, folder, path, capacity), MANIFEST), "manifest")
+    return common.written(rows.mapInArrow(lambda it: _write(common.trimmed(it), folder, path, capacity), MANIFEST), "manifest")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, file string, row int, offset long, segment int, sound boolean"
@@ -198,7 +198,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     common.ship(manifest.sparkSession)
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = manifest.repartition(n, "file").sortWithinPartitions("file", "row", "offset")
-    return rows.mapInArrow(lambda it: _read(it, folder), PIECES)
+    return rows.mapInArrow(lambda it: _read(common.trimmed(it), folder), PIECES)
 
 
 def op6_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_libc = None
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The same record batches; between them a Python worker gives freed memory back, as it lives on beside the JVM's heap."""
+    global _libc
+    if _libc is None:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.malloc_trim
+        except (OSError, AttributeError):  # another C library: nothing to do
+            _libc = False
+    for batch in batches:
+        yield batch
+        if _libc:
+            _libc.malloc_trim(0)
+    if _libc:
+        _libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir; only where that is unset (tests), one of our own."""
     app = spark.sparkContext.applicationId

@@ -204,7 +204,7 @@ def host(url: Column) -> Column:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """host and path: what most of its pages vote for (ties: more text, then the smaller path)."""
-    votes = pages.where("host is not null").select("host", "html").mapInArrow(_votes, "host string, path string, score long").where("path is not null")
+    votes = pages.where("host is not null").select("host", "html").mapInArrow(lambda it: _votes(common.trimmed(it)), "host string, path string, score long").where("path is not null")
     summed = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
     best = F.min_by("path", F.struct((-F.col("votes")).alias("a"), (-F.col("score")).alias("b"), F.col("path").alias("c")))
     return summed.groupBy("host").agg(best.alias("path"))
@@ -221,7 +221,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     paths = common.written(host_paths(pages), "host_paths")
     joined = pages.join(common.small(paths), "host", "left")
     rows = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path")
-    return rows.mapInArrow(_texts, "page_id long, url string, text string")
+    return rows.mapInArrow(lambda it: _texts(common.trimmed(it)), "page_id long, url string, text string")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

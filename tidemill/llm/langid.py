@@ -161,7 +161,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     rows = df.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"), has_letter(text).alias("__letter"))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "lang_pred string", "score double"])
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the parameters above
-    return rows.mapInArrow(lambda it: _score(it, shared.value, len(keep)), fields)
+    return rows.mapInArrow(lambda it: _score(common.trimmed(it), shared.value, len(keep)), fields)
 
 
 def held_out(doc_id: Column) -> Column:

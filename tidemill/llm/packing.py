@@ -27,6 +27,8 @@ CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens gathered before a window is packed; documents stay whole, so a long one can exceed it.
 WINDOW_TOKENS = 1 << 22
+#: Pieces of a record batch that leaves a worker.
+PIECES = 512
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -88,8 +90,8 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, l
     def packed() -> Iterator[pa.RecordBatch]:
         nonlocal base
         pieces = assign([len(x) for x in ids], capacity, linear, quadratic)
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
+        for at in range(0, len(pieces), PIECES):
+            part = pieces[at : at + PIECES]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([docs[i] for i, *_ in part], pa.int64()),
@@ -127,7 +129,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     common.ship(df.sparkSession)
     path = tokenizer_path or word_tokenizer_path()
     rows = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda it: _pack_batches(it, path, capacity, linear, quadratic), SCHEMA)
+    return rows.mapInArrow(lambda it: _pack_batches(common.trimmed(it), path, capacity, linear, quadratic), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -326,7 +326,7 @@ def _over(df: DataFrame, model: Model, column: str, keep: list[str], work, resul
     shared = df.sparkSession.sparkContext.broadcast(model)  # a vocabulary: its size doesn't depend on the data
     key = zlib.crc32(repr((model.pieces, model.scores.tobytes())).encode())
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__value"))
-    return rows.mapInArrow(lambda it: work(it, key, shared), _fields_of(df, keep) + result)
+    return rows.mapInArrow(lambda it: work(common.trimmed(it), key, shared), _fields_of(df, keep) + result)
 
 
 def encode(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -377,4 +377,4 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     common.ship(spark)
     key = zlib.crc32(repr((model.pieces, model.scores.tobytes())).encode())
-    return docs.mapInArrow(lambda it: _digest(it, key, shared), DIGEST)
+    return docs.mapInArrow(lambda it: _digest(common.trimmed(it), key, shared), DIGEST)

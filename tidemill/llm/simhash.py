@@ -59,7 +59,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id and fp (its 64 bits as a signed long), a row per input row. Null and empty texts: 0."""
     common.ship(df.sparkSession)
     rows = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(lambda it: _fingerprints(common.trimmed(it)), "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -83,7 +83,8 @@ def candidate_links(prints: DataFrame) -> DataFrame:
     a = prints.select(F.col("fp").alias("a"), F.explode(F.array(*index)).alias("key"))
     b = prints.select(F.col("fp").alias("b"), F.explode(F.array(*probe)).alias("key"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (far <= RADIUS)).select("a", "b").distinct()
+    # never broadcast: rows grow many times between the files Spark sizes a side by and the join
+    return a.hint("merge").join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (far <= RADIUS)).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,7 +118,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
     marked = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(common.small(firsts), "digest", "left")
     revisit = F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to"))
     rows = marked.select("page_id", "url", "html", revisit.alias("refers_to"))
-    return common.written(rows.mapInArrow(lambda it: _write(it, folder, date), INDEX), "index")
+    return common.written(rows.mapInArrow(lambda it: _write(common.trimmed(it), folder, date), INDEX), "index")
 
 
 def parse(data: bytes) -> dict:
@@ -177,7 +177,7 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
     common.ship(selected.sparkSession)
     n = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = selected.select("file", "offset", "length", "url").repartition(n, "file").sortWithinPartitions("file", "offset")
-    return rows.mapInArrow(lambda it: _read(it, folder), RECORDS)
+    return rows.mapInArrow(lambda it: _read(common.trimmed(it), folder), RECORDS)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
