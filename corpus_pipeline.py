@@ -20,7 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the base rules or the lost text reject; what stays has its cleaned text."""
-    judged = quality.judge(docs).where("kept")
+    # a column that may not be computed twice keeps Spark from pushing the condition, and with it all rules, below the rules
+    judged = quality.judge(docs).withColumn("__row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("__row") >= 0))
     new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
     return judged.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
