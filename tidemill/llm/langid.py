@@ -23,6 +23,8 @@ N_MIN, N_MAX = 1, 4
 DIMENSIONS = 1 << 14
 #: Sampled labelled texts per language (about), landmarks per language, ridge.
 SAMPLE, LANDMARKS, RIDGE = 300, 24, 1e-3
+#: Sampled texts and landmarks of all languages together, at most about; many languages share them equally.
+TOTAL_SAMPLE, TOTAL_LANDMARKS = 6000, 512
 #: Characters of a sampled text beyond which it isn't used for fitting (scoring reads whole texts).
 SAMPLE_CHARS = 20_000
 #: Languages learned at most: those with most texts.
@@ -105,7 +107,8 @@ def fit_texts(texts: list[str], langs: list[str]) -> Model:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((1, 0)))
     y = np.array([languages.index(x) for x in langs])
     present = presence(texts)
-    chosen = np.concatenate([np.flatnonzero(y == c)[:LANDMARKS] for c in range(len(languages))])
+    each = max(1, min(LANDMARKS, TOTAL_LANDMARKS // len(languages)))
+    chosen = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(languages))])
     model = Model(languages, present[chosen].T.astype(np.float32), np.zeros((1, 1)))
     values, vectors = np.linalg.eigh(model.kernels(present[chosen]))
     root = vectors / np.sqrt(np.maximum(values, 1e-8)) * (values > 1e-8)
@@ -123,14 +126,15 @@ def has_letter(text: Column) -> Column:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most about SAMPLE texts for each of MAX_LANGUAGES languages, chosen by a hash of the text."""
+    """Fit on about SAMPLE texts for each of MAX_LANGUAGES languages, TOTAL_SAMPLE in all, chosen by a hash of the text."""
     rows = common.pick(labelled, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & has_letter(F.col("text")) & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.withColumn("draw", F.xxhash64(F.col("text"), F.lit("draw")) / F.lit(2.0**64) + 0.5)
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    each = min(SAMPLE, TOTAL_SAMPLE // max(1, len(counts)))
     rate = F.lit(0.0)
     for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], SAMPLE / r["count"]).otherwise(rate)
-    got = rows.where(F.col("draw") < rate).dropDuplicates(["text", "lang"]).orderBy("lang", "draw", "text").limit(4 * SAMPLE * MAX_LANGUAGES).collect()
+        rate = F.when(F.col("lang") == r["lang"], each / r["count"]).otherwise(rate)
+    got = rows.where(F.col("draw") < rate).dropDuplicates(["text", "lang"]).orderBy("lang", "draw", "text").limit(2 * TOTAL_SAMPLE).collect()
     return fit_texts([r["text"] for r in got], [r["lang"] for r in got])
 
 
