@@ -166,3 +166,19 @@ def test_copies_come_in_the_order_of_their_ids(spark):
     use = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = ann.search(use, use.where("vec_id in (0, 150, 9)")).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got] == [3, 6, 9, 12, 15, 0, 3, 6, 12, 15, 0, 3, 6, 9, 12]
+
+
+@pytest.mark.parametrize("name", ["op4_warc", "op7_quality"])
+def test_queries_against_duckdb(spark, sf_dir, name):
+    import duckdb
+
+    from tidemill.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    df = queries()[name](spark, sf_dir)
+    cursor = con.execute(oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(str(tuple(r)) for r in cursor.fetchall())
