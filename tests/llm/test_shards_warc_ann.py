@@ -49,6 +49,20 @@ def test_hot_group_fills_few_shards(spark):
     assert sum(n for _, n in hot.most_common(3)) > 0.9 * sum(hot.values())  # a third of all rows needs three of eight shards
 
 
+@pytest.mark.parametrize("paired", [4, 6, 10])
+def test_pairs_stay_whole_beside_a_hot_group(spark, paired):
+    """A third of the rows is one group; of every 15 rows, ``paired`` are members of pairs (10: no row is free)."""
+    rows = [(i, "copy" if i % 3 == 0 else f"pair {i // 30} {i % 15}" if i % 15 in (1, 2, 4, 5, 7, 8, 10, 11, 13, 14)[:paired] else f"text {i}") for i in range(12_000)]
+    got = sharding.shard(sharding.equal_texts(docs(spark, rows))).collect()
+    check_shards(got)
+    text, where = dict(rows), {}
+    for r in got:
+        where.setdefault(text[r.id], set()).add(r.shard)
+    pairs = [s for t, s in where.items() if t.startswith("pair")]
+    assert len(pairs) == 400 * paired
+    assert sum(len(s) > 1 for s in pairs) <= (0 if paired < 10 else 28)  # without free rows, at most one for two shards
+
+
 def test_shard_edges(spark):
     rows = [(1, None), (2, None), (3, ""), (3, ""), (None, "a"), (None, "a"), (4, "b" * 100_000)]
     got = sharding.shard(sharding.equal_texts(docs(spark, rows))).collect()

@@ -1,8 +1,9 @@
 """Shards by balanced label propagation, in DataFrame functions only.
 
-Documents that share a link group start in shards dealt by a hash; in each round the members of a group move towards the
-shard that holds most of it, as far as that shard's quota has room. Documents move in cells (group, first shard, salt), so a
-group with a third of all rows is a bounded number of cells and rounds never touch single documents. Unlinked documents then
+Documents that share a link group start in shards dealt by a hash; in each turn a cut group moves as a whole to the shard that
+holds most of it among those with room for the rest, or to another with room for all; a group that fits no shard moves in
+parts towards the shard that holds most of it. Where no room is left, cut groups exchange parts of equal rows. Documents
+move in cells (group, first shard, salt), so a group with a third of all rows is a bounded number of cells. Unlinked documents then
 fill the rest, which makes the row counts exact: law `rows`, counts at most one apart.
 
 Positions (slots) come from bucket counts and a row number within each bucket, never from one global sort.
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS = 8
-ROUNDS = 6
 #: Cells that one group's members in one shard are dealt to.
 SALTS = 64
-#: Steps in which requests for a shard are admitted.
-STEPS = 1024
+#: Steps in which requests for a shard are admitted, and the numbers that are dealt to them.
+STEPS, DRAWS = 1024, 1 << 30
+#: Cut groups that are numbered together, about, to exchange parts.
+SWAPS = 4096
+#: Turns without a move after which none is left.
+DRY = 2
 #: A shard with less room than this part of its quota counts as full for groups that move in parts.
 ROOM = 50
 #: Rows in a bucket, about, when slots are numbered.
@@ -39,27 +43,94 @@ def _cells(rows: DataFrame, shards: int) -> DataFrame:
     return cells.withColumn("size", F.sum("n").over(per_group)).where("size > 1")
 
 
-def _round(cells: DataFrame, quota: DataFrame, total: int, shards: int) -> DataFrame:
-    """One round: ``cells`` has label, ``quota`` (label, cap) one row per shard."""
-    used = cells.groupBy("label").agg(F.sum("n").alias("used"))
-    room = quota.join(used, "label", "left").select("label", (F.col("cap") - F.coalesce("used", F.lit(0))).alias("room"))
-    held = cells.groupBy("grp", "label").agg(F.sum("n").alias("held"), F.first("size").alias("of"))
+def _room(cells: DataFrame, caps: list[int]) -> list[int]:
+    used = {r["label"]: r["used"] for r in cells.groupBy("label").agg(F.sum("n").alias("used")).collect()}  # a row per shard
+    return [cap - used.get(s, 0) for s, cap in enumerate(caps)]
+
+
+def _asked(cells: DataFrame, room: list[int], total: int, turn: int) -> DataFrame:
+    """Adds target (null: stays) and draw: where each cell wants to go, groups that fit a shard as a whole all to one."""
+    shards = len(room)
+    room_of = lambda label: F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), label + 1)
+    parts = cells.groupBy("grp", "label").agg(F.sum("n").alias("held"), F.first("size").alias("of"))
+    alone = F.col("of") * STEPS > F.lit(total) / shards
     # a group that moves cell by cell leaves a shard alone that is all but full, and goes to its next best
-    alone = lambda size: size * STEPS > F.lit(total) / shards
-    least = F.when(alone(F.col("of")), F.greatest(F.lit(1.0), F.lit(total) / shards / ROOM)).otherwise(F.lit(1.0))
-    open_ = held.join(F.broadcast(room), "label").where(F.col("room") >= least)  # room: a row per shard
-    best = open_.groupBy("grp").agg(F.max(F.struct("held", (-F.col("label")).alias("t"))).alias("b")).select("grp", F.col("b.held").alias("most"), (-F.col("b.t")).alias("target"))
-    asked = cells.join(held.drop("of"), ["grp", "label"]).join(best, "grp", "left")
-    moves = (F.col("target") != F.col("label")) & ((F.col("most") > F.col("held")) | ((F.col("most") == F.col("held")) & (F.col("target") < F.col("label"))))
-    # small groups ask as one; a group that could not fit a step asks cell by cell
-    step = F.when(alone(F.col("size")), _share("step", STEPS, "grp", "first", "salt")).otherwise(_share("step", STEPS, "grp"))
-    asked = asked.withColumn("moves", F.coalesce(moves, F.lit(False))).withColumn("step", step)
-    wanted = asked.where("moves").groupBy("target", "step").agg(F.sum("n").alias("n"))
-    running = wanted.withColumn("sum", F.sum("n").over(Window.partitionBy("target").orderBy("step")))
-    limit = running.join(F.broadcast(room.withColumnRenamed("label", "target")), "target").where("sum <= room").groupBy("target").agg(F.max("step").alias("until"))
-    decided = asked.join(F.broadcast(limit), "target", "left")
-    label = F.when(F.col("moves") & (F.col("step") <= F.col("until")), F.col("target")).otherwise(F.col("label"))
-    return decided.select("grp", "first", "salt", "n", "size", label.alias("label"))
+    least = F.when(alone, F.greatest(F.lit(1.0), F.lit(total) / shards / ROOM)).otherwise(F.lit(1.0))
+    order = F.struct("held", F.xxhash64(F.lit(turn), "grp", "label").alias("t"), "label")
+    fits = room_of(F.col("label")) >= F.col("of") - F.col("held")
+    best = parts.groupBy("grp").agg(F.max(F.when(fits, order)).alias("whole"), F.max(F.when(room_of(F.col("label")) >= least, order)).alias("part"), F.count("*").alias("spans"), F.first("of").alias("of"), F.min("label").alias("low"))
+    # in none of its shards is room for all of it: another shard, if it is cut or its shard holds too much
+    free = [s for s, r in enumerate(room) if r > 0]
+    other = F.element_at(F.array(*[F.lit(s) for s in free]), F.pmod(F.xxhash64(F.lit(turn), F.lit("other"), "grp"), F.lit(len(free))).cast("int") + 1) if free else F.lit(None).cast("int")
+    loose = (F.col("spans") > 1) | (room_of(F.col("low")) < 0)
+    best = best.withColumn("to", F.coalesce("whole.label", F.when(loose & (room_of(other) >= F.col("of")), other)))
+    best = best.select("grp", "to", F.col("part.held").alias("most"), F.col("part.label").alias("next"))
+    joined = cells.join(parts, ["grp", "label"]).join(best, "grp")
+    target = F.when(F.col("to").isNotNull(), F.col("to")).when(F.col("most") >= F.col("held"), F.col("next"))
+    # groups that move as a whole, and small ones, ask as one; others ask cell by cell
+    draw = F.when(F.col("to").isNull() & alone, _share(f"step {turn}", DRAWS, "grp", "first", "salt")).otherwise(_share(f"step {turn}", DRAWS, "grp"))
+    return joined.select("grp", "first", "salt", "n", "size", "label", F.when(target != F.col("label"), target).alias("target"), draw.alias("draw"))
+
+
+def _moved(asked: DataFrame, room: list[int]) -> tuple[DataFrame, int]:
+    """The cells after this turn's moves, as many as there is room for, and the rows moved."""
+    spark = asked.sparkSession
+    wish = {r["target"]: r["n"] for r in asked.where("target is not null").groupBy("target").agg(F.sum("n").alias("n")).collect()}  # a row per shard
+    # where more want to go than fit, steps are so short that all of them together hold twice the room
+    width = [max(1, int(DRAWS / STEPS * min(1.0, 2 * max(r, 0) / wish.get(s, 1)))) for s, r in enumerate(room)]
+    step = F.floor(F.col("draw") / F.element_at(F.array(*[F.lit(w) for w in width]), F.col("target") + 1)).cast("int")
+    asked = asked.withColumn("step", step)
+    sums = asked.where((F.col("target").isNotNull()) & (F.col("step") <= STEPS)).groupBy("target", "step").agg(F.sum("n").alias("n")).collect()  # at most STEPS + 1 a shard
+    left, admitted, moved = list(room), [], 0
+    for r in sorted(sums, key=lambda r: (r["target"], r["step"])):
+        if r["n"] <= left[r["target"]]:
+            left[r["target"]] -= r["n"]
+            admitted.append((r["target"], r["step"], True))
+            moved += r["n"]
+    yes = spark.createDataFrame(admitted, "target int, step int, yes boolean")
+    label = F.when(F.col("yes"), F.col("target")).otherwise(F.col("label"))
+    return asked.join(F.broadcast(yes), ["target", "step"], "left").select("grp", "first", "salt", "n", "size", label.alias("label")), moved
+
+
+def _swapped(cells: DataFrame, cut: int, turn: int) -> tuple[DataFrame, int]:
+    """Cut groups of two shards exchange parts of equal rows, which needs no room; also the groups that moved."""
+    parts = cells.groupBy("grp", "label").agg(F.sum("n").alias("k"))
+    part = F.struct("k", F.xxhash64(F.lit(turn), "grp", "label").alias("t"), "label")
+    ends = parts.groupBy("grp").agg(F.min(part).alias("a"), F.max(part).alias("b")).where("a.label <> b.label")
+    low, high = F.least("a.label", "b.label").alias("low"), F.greatest("a.label", "b.label").alias("high")
+    deal = _share(f"deal {turn}", max(1, cut // SWAPS), "grp").alias("deal")
+    ends = ends.select("grp", low, high, F.col("a.k").alias("k"), (F.col("a.k") == F.col("b.k")).alias("either"), (F.col("a.label") < F.col("b.label")).alias("up"), deal)
+    same = ["low", "high", "k", "deal"]
+    turns = F.row_number().over(Window.partitionBy(*same, "either").orderBy("grp")) % 2 == 0
+    ends = ends.withColumn("turns", turns).withColumn("up", F.when(F.col("either"), F.col("turns")).otherwise(F.col("up")))
+    ends = ends.withColumn("r", F.row_number().over(Window.partitionBy(*same, "up").orderBy("grp"))).withColumn("mine", F.count("*").over(Window.partitionBy(*same, "up"))).withColumn("all", F.count("*").over(Window.partitionBy(*same)))
+    source, goal = F.when(F.col("up"), F.col("low")).otherwise(F.col("high")), F.when(F.col("up"), F.col("high")).otherwise(F.col("low"))
+    swaps = common.written(ends.where(F.col("r") <= F.least(F.col("mine"), F.col("all") - F.col("mine"))).select("grp", source.alias("label"), goal.alias("goal")), "swaps")
+    n = swaps.count()
+    return cells.join(swaps, ["grp", "label"], "left").select("grp", "first", "salt", "n", "size", F.coalesce("goal", "label").alias("label")), n
+
+
+def _settle(cells: DataFrame, caps: list[int], total: int) -> DataFrame:
+    """Turns until neither a move nor an exchange is left; each brings parts of a group together or empties a shard that
+    holds too much, so turns end. A turn's draws are its own: DRY turns in a row must find nothing."""
+    turn = dry = 0
+    while dry < DRY:
+        room = _room(cells, caps)
+        cut = cells.groupBy("grp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").count()
+        if not cut and min(room) >= 0:
+            break
+        asked = common.written(_asked(cells, room, total, turn), "asked")
+        after, moved = _moved(asked, room)
+        if not moved:
+            after, moved = _swapped(cells, cut, turn)
+        dry = 0 if moved else dry + 1
+        if moved:
+            after = common.written(after, "cells")
+            common.discard(cells)
+            cells = after
+        common.discard(asked)
+        turn += 1
+    return cells
 
 
 def _numbered(rows: DataFrame, pool: Column, bucket: Column) -> DataFrame:
@@ -72,28 +143,18 @@ def _numbered(rows: DataFrame, pool: Column, bucket: Column) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(within)).join(offsets, ["pool", "bucket"]).withColumn("pos", F.col("offset") + F.col("r") - 1).drop("r", "offset", "pool", "bucket")
 
 
-def shard(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds shard and slot to rows of (id, grp, size, crc); grp (a string, null for none) names the link group.
 
     Equal groups come together as far as equal row counts let them. Null ids and repeated rows are rows like any
     other; an empty table gives no rows; fewer rows than shards leave shards empty.
     """
-    spark = rows.sparkSession
     rows = rows.withColumns({"salt": _share("salt", SALTS, "id", "size", "crc"), "first": _share("first", shards, "id", "size", "crc")})
     rows = common.written(rows, "rows")
     total = rows.count()
     caps = [total // shards + (s < total % shards) for s in range(shards)]
-    quota = spark.createDataFrame(list(enumerate(caps)), "label int, cap long")
     cells = common.written(_cells(rows.where("grp is not null"), shards).withColumn("label", F.col("first")), "cells")
-    before = None
-    for _ in range(rounds):
-        after = common.written(_round(cells, quota, total, shards), "cells")
-        common.discard(cells)
-        cells = after
-        spread = cells.groupBy("label").agg(F.sum("n")).orderBy("label").collect(), cells.select("grp", "label").distinct().count()  # a row per shard, a number
-        if spread == before:
-            break
-        before = spread
+    cells = _settle(cells, caps, total)
     linked = cells.select("grp", "first", "salt", F.col("label"))
     placed = rows.join(linked, ["grp", "first", "salt"], "left")
     buckets = max(4, total // shards // BUCKET_ROWS)
