@@ -55,6 +55,17 @@ def test_language_edges(spark):
     assert langid.predict(df, nothing).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_of_many_copies_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 4)
+    rare = [(i, f"der hund lag auf dem bett nummer {'abcdefghij'[i]}", "de") for i in range(10)]
+    rows = rare + [(100 + i, "das ist immer der gleiche satz", "de") for i in range(4000)] + [(9000 + i, f"the cat sat on mat {'abcdefghij'[i]}", "en") for i in range(10)]
+    seen = []
+    monkeypatch.setattr(langid, "fit_texts", lambda texts, langs: seen.append((texts, langs)))
+    langid.fit(docs(spark, rows))
+    texts, langs = seen[0]
+    assert langs == ["de"] * 4 + ["en"] * 4 and len(set(texts)) == 8
+
+
 # ---- quality
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")

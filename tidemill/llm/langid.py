@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,7 +21,7 @@ from . import common
 N_MIN, N_MAX = 1, 4
 #: Columns of the presence matrix; n-grams are hashed to them.
 DIMENSIONS = 1 << 14
-#: Sampled labelled texts per language (about), landmarks per language, ridge.
+#: Sampled labelled texts per language (at most), landmarks per language, ridge.
 SAMPLE, LANDMARKS, RIDGE = 300, 24, 1e-3
 #: Sampled texts and landmarks of all languages together, at most about; many languages share them equally.
 TOTAL_SAMPLE, TOTAL_LANDMARKS = 6000, 512
@@ -126,15 +126,18 @@ def has_letter(text: Column) -> Column:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about SAMPLE texts for each of MAX_LANGUAGES languages, TOTAL_SAMPLE in all, chosen by a hash of the text."""
+    """Fit on up to SAMPLE distinct texts for each of MAX_LANGUAGES languages, TOTAL_SAMPLE in all: those with the smallest hashes."""
     rows = common.pick(labelled, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & has_letter(F.col("text")) & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.withColumn("draw", F.xxhash64(F.col("text"), F.lit("draw")) / F.lit(2.0**64) + 0.5)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    texts = rows.groupBy("lang", "draw").agg(F.count("*").alias("n"))  # copies share a draw
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("draw").alias("least")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     each = min(SAMPLE, TOTAL_SAMPLE // max(1, len(counts)))
-    rate = F.lit(0.0)
+    some = each + 6 * each**0.5 + 10  # so many are drawn that hardly ever fewer than each are
+    rate = F.lit(-1.0)
     for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], each / r["count"]).otherwise(rate)
-    got = rows.where(F.col("draw") < rate).dropDuplicates(["text", "lang"]).orderBy("lang", "draw", "text").limit(2 * TOTAL_SAMPLE).collect()
+        rate = F.when(F.col("lang") == r["lang"], max(some / r["texts"], r["least"])).otherwise(rate)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))  # about some rows a language
+    got = rows.where(F.col("draw") <= rate).dropDuplicates(["text", "lang"]).withColumn("r", first).where(F.col("r") <= each).orderBy("lang", "draw", "text").collect()
     return fit_texts([r["text"] for r in got], [r["lang"] for r in got])
 
 
