@@ -238,6 +238,25 @@ def test_given_pages(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+LONG = "<p>" + "A sentence of the body that goes on for a while. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page, outside",
+    [
+        (f"<body><article><h1>Title</h1><p>The lead.</p><div class=body>{LONG}</div></article><div class=x><p>Elsewhere</p></div></body>", "Elsewhere"),
+        (f"<body><article><h1>Title</h1><section>{LONG * 3}</section><section><p>The lead.</p>{LONG}</section></article></body>", "Elsewhere"),
+        (f"<body><div class=post><h1>Title</h1><p>The lead.</p><div class=body>{LONG}</div></div><div class=x><p>Elsewhere</p></div></body>", "Elsewhere"),
+        (f"<body><div class=wrap><div class=post><h1>Title</h1><p>The lead.</p><div class=body>{LONG}</div></div><div class=x><p><a href=/>Elsewhere</a></p></div></div></body>", "Elsewhere"),
+    ],
+)
+def test_title_and_lead_outside_the_body_stay(spark, page, outside):
+    rows = [(i, f"http://a.org/{i}", page) for i in range(3)] + [(9, None, page)]
+    for r in html.extract(pages(spark, rows)).collect():
+        assert r.text.startswith("Title\n") and "The lead." in r.text and outside not in r.text
+        assert r.text.count("goes on") == page.count("goes on")
+
+
 # ---- pipeline
 
 

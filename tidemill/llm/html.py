@@ -2,7 +2,8 @@
 
 A page's containers are scored by their own text (not in links, not in boilerplate), and the deepest one that holds most of
 it is the page's vote, as a path of tags and classes with digits generalised. Votes are summed for each host; then every page
-is extracted again with its host's winning path, unless the page doesn't have it or has far more text elsewhere.
+is extracted again with its host's winning path, unless the page doesn't have it or has far more text elsewhere. The text
+is that of the whole article around the container found.
 """
 
 from __future__ import annotations
@@ -166,16 +167,37 @@ class Page:
             at = top
         return at, score[at]
 
+    def _below(self, tops: set[int]) -> list[bool]:
+        inside = [False] * len(self.paths)
+        for c in range(len(self.paths)):  # parents come before their children
+            inside[c] = c in tops or (c > 0 and inside[self.parent[c]])
+        return inside
+
+    def _wholes(self) -> list[int]:
+        """For each container the article or main part around it; without one, the widest below the body that adds only text outside links."""
+        linked = [0] * len(self.paths)  # blocks that are links for more than half
+        for c, t, n in self.blocks:
+            linked[c] += 2 * n < len(t)
+        for c in range(len(self.paths) - 1, 0, -1):
+            linked[self.parent[c]] += linked[c]
+        part, wide, out = [-1] * len(self.paths), list(range(len(self.paths))), [0] * len(self.paths)
+        for c in range(1, len(self.paths)):  # parents come before their children
+            up, tag = self.parent[c], self.paths[c].rsplit("/", 1)[-1].split(".", 1)[0]
+            part[c] = c if tag in ("article", "main") else part[up]
+            if up > 0 and self.paths[up].rsplit("/", 1)[-1].split(".", 1)[0] not in ("body", "html") and linked[up] == linked[c]:
+                wide[c] = wide[up]
+            out[c] = part[c] if part[c] >= 0 else wide[c]
+        return out
+
     def text(self, path: str | None) -> str:
-        """Blocks below the path if it holds enough of the page, else below the page's own best container."""
+        """Blocks of the article around the path if it holds enough of the page, else around the page's own best container."""
         own, own_score = self.best()
-        inside = [False] * len(self.paths)
-        for c, p in enumerate(self.paths):
-            inside[c] = p == path or (c > 0 and inside[self.parent[c]])
+        tops = {c for c, p in enumerate(self.paths) if p == path}
+        inside = self._below(tops)
         if path is None or sum(n for c, _, n in self.blocks if inside[c]) < AGREES * own_score:
-            inside = [False] * len(self.paths)
-            for c in range(len(self.paths)):
-                inside[c] = c == own or (c > 0 and inside[self.parent[c]])
+            tops = {own}
+        wholes = self._wholes()
+        inside = self._below({wholes[c] for c in tops})
         return "\n".join(t for c, t, _ in self.blocks if inside[c])
 
 
