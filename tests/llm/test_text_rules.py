@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tidemill.llm import components, html, langid, quality, simhash
+from tidemill.llm import common, components, html, langid, quality, simhash
 from tidemill.llm.queries import oracle_sql, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp int, score string"
@@ -181,7 +181,9 @@ def test_components_of_a_chain(spark):
 def test_near_duplicate_edges(spark):
     rows = [(9, None, None), (4, "", None), (7, "  \n", None), (3, CLEAN, None), (3, CLEAN, None), (None, CLEAN, None), (None, "all alone in here", None), (2, CLEAN + " indeed", None)]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs(spark, rows)).collect()), key=str)
-    assert got[:3] == [(3, 3), (3, 3), (4, 4)] or (2, 2) in got
+    apart = bin(plain_print(CLEAN) ^ plain_print(CLEAN + " indeed")).count("1")
+    least = 2 if apart <= 2 else 3
+    assert [c for i, c in got if i == 3] == [least] * 2 and (None, least) in got and (2, 2) in got
     assert {c for i, c in got if i in (4, 7, 9)} == {4}
     assert (None, None) in got
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
@@ -279,11 +281,56 @@ def test_pipeline(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == kept.count()
 
 
-def test_dedup_stage_keeps_one_of_each_group(spark):
-    rows = [(5, CLEAN, "en"), (2, CLEAN, "en"), (2, CLEAN, "en"), (None, CLEAN, "en"), (None, "other words altogether in this one", "en"), (8, "a third text that stands alone", "en")]
-    got = corpus_pipeline.simhash_dedup(spark, docs(spark, rows), "")
-    assert sorted(str(r.doc_id) for r in got.collect()) == ["2", "8", "None"]
-    assert corpus_pipeline.simhash_dedup(spark, docs(spark, []), "").count() == 0
+OTHERS = "score string, kept string, lang_pred string, __row int, row int, fp int, whole string, cleaned int, c0 string, root int, __text string, tags map<string,int>"
+
+
+def wide(spark, rows):
+    """Documents with further columns, named as what the operators make."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine", "mine", "mine", 7, 7, 7, "mine", 7, "mine", 7, "mine", {"a": 1}) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {OTHERS}")
+
+
+PLAIN = "The morning train was late again, so the people on the platform talked about the weather.\nNobody minded much. The sun was out, and the station has a good bakery."
+OTHER = "Rivers carry sand to the sea all year round.\nIn spring they carry more of it, because the snow melts in the hills and every stream is full of water then."
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_dedup_stage_keeps_one_of_each_group(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT", 3)
+    rows = [(5, CLEAN), (2, CLEAN), (2, CLEAN), (None, CLEAN), (None, "other words altogether in this one"), (8, "a third text that stands alone"), (9, None), (10, ""), (11, " \n"), (12, PLAIN), (12, OTHER), (13, PLAIN), (None, "nothing here has an id"), (None, "nothing here has an id")]
+    rows += [(20 + i, CLEAN) for i in range(40)]
+    df = wide(spark, rows)
+    got = corpus_pipeline.simhash_dedup(spark, df, "")
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    want = [(2, CLEAN), (None, "other words altogether in this one"), (8, "a third text that stands alone"), (9, None), (12, PLAIN), (12, OTHER), (None, "nothing here has an id")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    assert all(r.score == "mine" and r.row == 7 and r.tags == {"a": 1} for r in got.collect())
+    assert sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.simhash_dedup(spark, df.repartition(7), "").collect()) == sorted(map(str, want))
+    assert corpus_pipeline.simhash_dedup(spark, wide(spark, []), "").count() == 0
+
+
+@pytest.mark.parametrize("stage", ["language_id", "quality_rules", "simhash_dedup"])
+def test_stages_pass_all_columns_and_rows_through(spark, stage):
+    """Shared ids, no ids, odd texts, repeated rows and clashing columns: the stage's own decisions alone drop rows."""
+    rows = [(1, PLAIN), (1, OTHER), (None, CLEAN), (None, CLEAN), (3, None), (4, ""), (5, "12 34 !?"), (6, (PLAIN + "\n") * 1 + " ".join(f"Word {i} of a long text ends here." for i in range(20_000)))]
+    df = wide(spark, rows)
+    got = dict(corpus_pipeline.STAGES)[stage](spark, df, "")
+    assert got.columns == df.columns
+    found = got.collect()
+    texts = sorted(r.text[:30] for r in found if r.text and r.doc_id != 5)
+    copies = 1 if stage == "simhash_dedup" else 2
+    assert texts == sorted([PLAIN[:30], OTHER[:30], PLAIN[:30], *[CLEAN[:30]] * copies])
+    assert all((r.score, r.kept, r.lang_pred, r["__row"], r.cleaned, r.c0, r["__text"], r.lang) == ("mine", "mine", "mine", 7, 7, "mine", "mine", "en") for r in found)
+    assert dict(corpus_pipeline.STAGES)[stage](spark, wide(spark, []), "").count() == 0
+
+
+def test_packing_stage_edges(spark):
+    got = corpus_pipeline.packed(spark, wide(spark, [(1, None), (1, ""), (None, "a b"), (2, PLAIN), (2, PLAIN)]), "").collect()
+    assert sorted(str((r.doc_id, r.doc_tokens)) for r in got if r.doc_id != 2 and r.start == 0)[:2] == ["(1, 1)", "(1, 1)"]
+    assert sum(r.length for r in got if r.doc_id == 2) == 2 * next(r.doc_tokens for r in got if r.doc_id == 2)
+    assert corpus_pipeline.packed(spark, wide(spark, []), "").count() == 0
 
 
 def test_queries_and_oracles():

@@ -12,11 +12,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it has no more rows than this (a row is a key and a few numbers).
 BROADCAST_ROWS = 100_000
+#: A key is hot if more than one in this many of all rows have it, so fewer keys than this are.
+HOT = 10_000
 
 _scratch: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -66,11 +68,13 @@ def trimmed(batches: Iterator) -> Iterator:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """A folder of this application below spark.checkpoint.dir; only where that is unset and the session local, one of our own."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         _scratch[app] = f"{base.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _scratch[app])
@@ -116,6 +120,36 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``keyed`` (one row per key; n: how many rows have it) holds for their key; ``how``: inner or left.
+
+    A small ``keyed`` is broadcast. Else hot keys are split into parts of about total / HOT rows by ``spread``, a hash that
+    differs from row to row, and their rows in ``keyed`` are repeated for each part: at most HOT rows more. Rows without a
+    key are spread too.
+    """
+    counted = keyed.count()
+    if counted <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed.drop("n")), key, how)
+    part = max(1, total // HOT)
+    salts = F.ceil(F.col("n") / part).cast("int")
+    hot = keyed.where(F.col("n") > part).select(F.col(key).alias("__hot"), salts.alias("__salts"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    many = F.when(F.col(key).isNull(), HOT).otherwise(F.coalesce("__salts", F.lit(1)))
+    marked = marked.withColumn("__salt", F.pmod(spread, many).cast("int")).drop("__hot", "__salts")
+    parts = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return marked.join(parts, [key, "__salt"], how).drop("__salt")
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: whatever its columns are called, none clashes with an operator's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What ``positional`` calls a column of ``df``."""
+    return f"c{df.columns.index(name)}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

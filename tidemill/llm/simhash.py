@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -51,15 +52,17 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        texts = batch.column(batch.num_columns - 1)
+        prints = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (its 64 bits as a signed long), a row per input row. Null and empty texts: 0."""
+def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns in ``keep`` and fp (its 64 bits as a signed long), a row per input row. Null and empty texts: 0."""
     common.ship(df.sparkSession)
-    rows = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda it: _fingerprints(common.trimmed(it)), "doc_id long, fp long")
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(lambda it: _fingerprints(common.trimmed(it)), schema)
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -87,20 +90,45 @@ def candidate_links(prints: DataFrame) -> DataFrame:
     return a.hint("merge").join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (far <= RADIUS)).select("a", "b").distinct()
 
 
+def rooted(classes: DataFrame) -> DataFrame:
+    """Adds root, the least fingerprint reachable over links, to rows that each have a distinct fingerprint fp."""
+    links = common.written(candidate_links(classes.select("fp")), "links")
+    linked = components(links)  # only fingerprints with links
+    return common.written(classes.join(linked, classes.fp == linked.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "rooted")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links), one row per input row.
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Null ids take part but name no
-    component unless no other id is there (then null). Repeated rows stay repeated. An empty table gives no rows.
+    component unless no other id is there (then null). Repeated rows stay repeated. An empty table gives no rows. Columns
+    besides the two named are ignored.
     """
-    rows = common.written(fingerprints(df, id_col, text_col), "fingerprints")
-    classes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = common.written(candidate_links(classes.select("fp")), "links")
-    linked = components(links)  # fp -> root; only fingerprints with links
-    rooted = classes.join(linked, classes.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.written(rooted.join(names, "root").select(F.col("fp").alias("fp2"), "component_id"), "named")
-    return rows.join(named, rows.fp == named.fp2).select("doc_id", "fp", "component_id")
+    picked = common.pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = common.written(fingerprints(picked, ["doc_id"]), "fingerprints")
+    found = rooted(common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes"))
+    names = common.written(found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
+    named = common.salted_join(found.select("root", "fp", F.col("n").alias("copies")), names, "root", found.count(), F.xxhash64("fp"))
+    named = common.written(named.select("fp", F.col("copies").alias("n"), "component_id"), "named")
+    return common.salted_join(rows, named, "fp", rows.count(), F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of linked fingerprints: the one with the smallest id (null comes last), of equal ids
+    the one whose columns have the smallest hash, of equal rows any one.
+
+    Rows are told apart by a number of their own, so rows that share an id are lost only to a row they are linked with.
+    Null and blank texts are one group. An empty table stays empty; columns may have any names.
+    """
+    text, doc_id = common.place(df, text_col), common.place(df, id_col)
+    plain = common.positional(df)
+    hashed = [c for c, kind in plain.dtypes if "map<" not in kind and kind != "variant"]  # Spark hashes no maps
+    rows = fingerprints(plain.withColumn("whole", F.xxhash64(*hashed)), [*plain.columns, "whole"], text)
+    rows = common.written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "whole", "row")
+    found = rooted(common.written(rows.groupBy("fp").agg(F.min(order).alias("first")), "classes"))
+    first = common.written(found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "first")
+    return rows.join(common.small(first), "row", "left_semi").select(*plain.columns).toDF(*df.columns)
 
 
 def hex_digits(fp: Column) -> Column:
