@@ -1,4 +1,8 @@
-"""Documents to packed sequences: language, quality, near-duplicates, packing. Each stage works on what the last kept."""
+"""Documents to packed sequences: language, quality, near-duplicates, packing. Each stage works on what the last kept.
+
+Stages keep or drop rows, not ids: rows that share an id, rows without one and repeated rows are judged each for itself. All
+columns of the documents pass through, whatever they are called; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -12,43 +16,31 @@ MIN_LANGUAGE_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that no language claims."""
+    """Rejects texts that are null, have no letter, or are claimed by no language; all, if no text has a language to learn."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = common.positional(docs)
+    found = langid.predict(plain, model, common.place(docs, "text"), keep=plain.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the base rules or the lost text reject; what stays has its cleaned text."""
+    """Rejects what the base rules or the lost text reject (null and blank texts among them); what stays has its cleaned text."""
+    plain, text = common.positional(docs), common.place(docs, "text")
     # a column that may not be computed twice keeps Spark from pushing the condition, and with it all rules, below the rules
-    judged = quality.judge(docs).withColumn("__row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("__row") >= 0))
-    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
-    return judged.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
-
-
-def _one_of_nameless(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """One document of each group in which no document has an id; ``prints``: the fingerprints of such groups."""
-    rows = docs.where("doc_id is null").withColumn("__h", F.xxhash64("text"))
-    inside = simhash.fingerprints(rows, "__h").join(prints, "fp", "left_semi").select(F.col("doc_id").alias("__h"))
-    rows = rows.join(inside, "__h", "left_semi")
-    first = simhash.near_duplicates(rows, "__h").where("doc_id = component_id").select(F.col("doc_id").alias("__h"))
-    return rows.join(first, "__h", "left_semi").dropDuplicates(["__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = quality.judge(plain, text).withColumn("row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("row") >= 0))
+    new = {text: F.col("cleaned")}
+    if "n_chars" in docs.columns:
+        new[common.place(docs, "n_chars")] = F.length("cleaned").cast("long")
+    return judged.select(*[new.get(c, F.col(c)).alias(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of linked fingerprints, the document with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    keep = common.written(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")), "keep")
-    kept = docs.join(keep.distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    if keep.groupBy("__id").count().where("count > 1").limit(1).count():  # ids that occur twice: any one of their rows
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = found.where("component_id is null").select("fp").distinct()
-    if nameless.limit(1).count():
-        kept = kept.unionByName(_one_of_nameless(docs, nameless))
-    return kept
+    """Keeps one document of each group of linked fingerprints, the one with the smallest id."""
+    return simhash.first_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences. A null or empty text is the end id alone."""
     return packing.digest(packing.pack(docs))
 
 
@@ -59,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole table ``documents``, each written before the next; the pieces of what all of them kept."""
     docs = common.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
