@@ -25,7 +25,7 @@ rep AS (SELECT doc_id, sum(k)::BIGINT AS n_repeat_words FROM (SELECT doc_id, lea
 raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 l AS (SELECT doc_id, line, lower(line) AS low, list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '') AS t FROM raw),
 c AS (SELECT doc_id, line, len(t) AS n,
-   (NOT regexp_matches(line, '[.!?…。！？:;]') AND len(t) >= {quality.PUNCTUATION_FROM})
+   (NOT regexp_matches(line, '[{quality.END_MARKS}{quality.NO_MARKS}]') AND len(t) >= {quality.PUNCTUATION_FROM})
    OR (len(t) > 0 AND (
      (len(list_filter(t, lambda x: x IN ('|', '»', '›', '·', '•', '>', '>>'))) >= {quality.NAV_MIN} AND len(list_filter(t, lambda x: x IN ('|', '»', '›', '·', '•', '>', '>>'))) * {quality.NAV_WORDS} >= len(t))
      OR len(list_filter(t, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) * 100 > len(t) * {quality.MAX_SYMBOL_PERCENT}

@@ -27,6 +27,11 @@ NAV_MIN, NAV_WORDS = 3, 4
 #: Percent of a line's words that hold a symbol, or end in repeated exclamation marks.
 MAX_SYMBOL_PERCENT, MAX_SHOUT_PERCENT = 30, 50
 
+# Marks that end or divide sentences, of Latin and Greek, CJK, Arabic and Urdu, Indic, Ethiopic, Burmese, Khmer,
+# Tibetan, Armenian and Mongolian script; Thai and Lao are written without any.
+END_MARKS = ".!?\u2026:;" "\u3002\uff01\uff1f\uff1a\uff1b\uff0e\uff61" "\u061f\u06d4\u061b" "\u0964\u0965" "\u1362\u1363\u1364\u1365\u1366\u1367\u1368" "\u104a\u104b" "\u17d4\u17d5" "\u0f0d\u0f0e" "\u0589\u055c\u055e" "\u1803"
+NO_MARKS = "\u0e00-\u0eff"
+
 # Phrases of licence, consent and navigation lines, matched in lower case.
 BOILERPLATE = [
     "all rights reserved",
@@ -85,8 +90,8 @@ def repeat_words(w: Column) -> Column:
 
 
 def unpunctuated(line: Column) -> Column:
-    """True for a line that is long enough for a sentence and has no end mark anywhere."""
-    return ~line.rlike("[.!?\u2026\u3002\uff01\uff1f:;]") & (F.size(words(line)) >= PUNCTUATION_FROM)
+    """True for a line that is long enough for a sentence and has no end mark anywhere, in a script that has such marks."""
+    return ~line.rlike(f"[{END_MARKS}{NO_MARKS}]") & (F.size(words(line)) >= PUNCTUATION_FROM)
 
 
 def _has_phrase(low: Column) -> Column:
