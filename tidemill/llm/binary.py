@@ -2,7 +2,7 @@
 
 A window of documents is packed by best fit: pieces in descending length, each into the sequence whose remaining room is the
 smallest that holds it, found in a segment tree over the possible rooms. Documents longer than a sequence are split without
-loss. A file holds, for its sequences, the id matrix (uint16, padded), cumulative segment lengths, and a bit for every place
+loss. A file holds, for its sequences, the id matrix (uint16, or uint32 where an id needs it; padded), cumulative segment lengths, and a bit for every place
 where positions start again from 0.
 
 Tasks write files of their own names into the shared folder; the manifest (a written table) names only those of committed
@@ -88,7 +88,8 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
 
 def encode_file(ids: list[np.ndarray], pieces: list[tuple[int, int, int, int, int]], sequences: int, capacity: int) -> bytes:
-    matrix = np.full((sequences, capacity), PAD_ID, "<u2")
+    width = 2 if max((int(x.max()) for x in ids if len(x)), default=0) < 1 << 16 else 4
+    matrix = np.full((sequences, capacity), PAD_ID, f"<u{width}")
     resets = np.zeros((sequences, capacity), bool)
     ends: list[list[int]] = [[0] for _ in range(sequences)]
     for i, s, n, seq, off in sorted(pieces, key=lambda p: (p[3], p[4])):
@@ -97,7 +98,7 @@ def encode_file(ids: list[np.ndarray], pieces: list[tuple[int, int, int, int, in
         ends[seq].append(off + n)
     rows = np.cumsum([0, *map(len, ends)]).astype("<i8")
     parts = [matrix.tobytes(), rows.tobytes(), np.concatenate([np.array(e, "<i4") for e in ends]).tobytes(), np.packbits(resets, axis=1, bitorder="little").tobytes()]
-    head = json.dumps({"sequences": sequences, "capacity": capacity, "bytes": [len(p) for p in parts]}).encode()
+    head = json.dumps({"sequences": sequences, "capacity": capacity, "width": width, "bytes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
 
@@ -109,7 +110,7 @@ def decode_file(data: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     head = json.loads(data[12 : 12 + n])
     at = np.cumsum([12 + n, *head["bytes"]])
     seqs, cap = head["sequences"], head["capacity"]
-    matrix = np.frombuffer(data[at[0] : at[1]], "<u2").reshape(seqs, cap)
+    matrix = np.frombuffer(data[at[0] : at[1]], f"<u{head['width']}").reshape(seqs, cap)
     rows = np.frombuffer(data[at[1] : at[2]], "<i8")
     cu = np.frombuffer(data[at[2] : at[3]], "<i4")
     resets = np.unpackbits(np.frombuffer(data[at[3] : at[4]], np.uint8).reshape(seqs, -1), axis=1, bitorder="little", count=cap).astype(bool)
@@ -145,7 +146,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, capacity:
     for batch in batches:
         for doc, found in encoded(batch, tokenizer):
             docs.append(doc)
-            ids.append(np.append(found, np.uint32(END_ID)).astype("<u2"))
+            ids.append(np.append(found, np.uint32(END_ID)).astype("<u4"))
             tokens += len(ids[-1])
             if tokens >= WINDOW_TOKENS:
                 yield flush()
@@ -157,7 +158,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, capacity:
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pack every row into files below ``folder`` (a URI all executors reach); the manifest, a row per piece.
 
-    The tokenizer's ids must be below 65536. Null and empty texts are the end id alone; repeated rows are packed each for itself;
+    Ids of 65536 and more make their file's ids four bytes wide. Null and empty texts are the end id alone; repeated rows are packed each for itself;
     a null id stays null; an empty table writes no file.
     """
     spark = df.sparkSession
