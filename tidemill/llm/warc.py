@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,32 +32,36 @@ GAP, READ = 64 << 10, 8 << 20
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, digest string, payload binary"
 
-_ID = re.compile(rb"<urn:page:(-?\d+|none)>")
 # Fixed values of the WARC 1.1 format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _uri(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:no-url")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One response, or a revisit of ``refers_to`` that holds no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
+    """One response, or a revisit of the page ``refers_to`` that holds no payload.
+
+    A record's id is its own, however often a page_id occurs; page ids stand in extension fields, and a revisit names the
+    response by the fields that the format has for that: its URI and date.
+    """
     head = HTTP_HEAD.format(len(payload)).encode()
     block = head + payload if refers_to is None else head
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:no-url")
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", _urn(page_id)),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
         ("WARC-Date", date),
-        ("WARC-Target-URI", uri),
+        ("WARC-Target-URI", _uri(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        fields[5:5] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn(refers_to))]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To-Target-URI", _uri(refers_url)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", str(refers_to))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -72,7 +76,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterato
     try:
         for batch in batches:
             rows = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, at = fs.open_output_stream(f"{base}/{name}", compression=None), 0
@@ -82,7 +86,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterato
                     at = len(first)
                 payload = (html or "").encode("utf-8")
                 digest = hashlib.sha1(payload).hexdigest()
-                data = _gzip(record(page_id, url, payload, digest, refers_to, date))
+                data = _gzip(record(page_id, url, payload, digest, refers_to, refers_url, date))
                 out.write(data)
                 rows.append((name, at, len(data), url, digest, page_id, "response" if refers_to is None else "revisit"))
                 at += len(data)
@@ -97,9 +101,16 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterato
 
 
 def first_copies(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """digest and refers_to (the largest page_id) of payloads of at least ``min_bytes`` that occur more than once."""
-    keyed = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("bytes"))
-    return keyed.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    """digest, refers_to (the largest page_id), its url, and n of payloads of at least ``min_bytes`` that occur more than once."""
+    keyed = pages.select("page_id", "url", _digest(min_bytes).alias("digest")).where("digest is not null")
+    latest = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("latest")
+    found = keyed.groupBy("digest").agg(latest, F.count("*").alias("n")).where("n > 1 and latest is not null")
+    return found.select("digest", F.col("latest.page_id").alias("refers_to"), F.col("latest.url").alias("refers_url"), "n")
+
+
+def _digest(min_bytes: int) -> Column:
+    """Null for payloads that are never revisits, so that they meet no key."""
+    return F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary")))
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -115,9 +126,10 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
     firsts = common.written(first_copies(pages), "first_copies")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    marked = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(common.small(firsts), "digest", "left")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    marked = common.salted_join(pages.withColumn("digest", _digest(MIN_REVISIT_BYTES)), firsts, "digest", total, F.xxhash64("page_id", "url"), "left")
     revisit = F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to"))
-    rows = marked.select("page_id", "url", "html", revisit.alias("refers_to"))
+    rows = marked.select("page_id", "url", "html", revisit.alias("refers_to"), "refers_url")
     return common.written(rows.mapInArrow(lambda it: _write(common.trimmed(it), folder, date), INDEX), "index")
 
 
@@ -128,8 +140,8 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields[b"Content-Length"])]
     kind = fields[b"WARC-Type"].decode()
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda x: None if (m := _ID.match(x)) is None or m[1] == b"none" else int(m[1])
-    return {"type": kind, "page_id": number(fields[b"WARC-Record-ID"]), "refers_to": number(fields.get(b"WARC-Refers-To", b"")), "digest": fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), "payload": payload if kind == "response" else None}
+    number = lambda name: int(fields[name]) if name in fields else None
+    return {"type": kind, "page_id": number(b"X-Page-ID"), "refers_to": number(b"X-Refers-To-Page-ID"), "digest": fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), "payload": payload if kind == "response" else None}
 
 
 def _ranges(rows: Iterator[tuple[str, int, int, str]]) -> Iterator[list[tuple[str, int, int, str]]]:
@@ -181,13 +193,19 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as the archives hold it; sizes and digests of revisits are those of the response they name.
+
+    A null page has an empty payload; a page without an id, and rows that share the largest id, are responses.
+    """
     folder = common.new_folder(spark, "warc")
     index = write(common.table(spark, sf_dir, "pages"), folder)
-    found = read(index, folder).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("n"), F.lower(F.sha1("payload")).alias("sha1"))
+    found = read(index, folder).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.lower(F.sha1("payload")).alias("sha1"))
     found = common.written(found, "records")
-    targets = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("target")).distinct()
-    responses = found.where("record_type = 'response'").select(F.col("page_id").alias("target"), "n", "sha1")
-    origin = responses.join(targets, "target", "left_semi").groupBy("target").agg(F.max("n").alias("full"), F.max("sha1").alias("full_sha1"))
+    # a page id can occur with several payloads: a revisit's response is the one with its digest
+    revisits = found.withColumn("key", F.when(F.col("record_type") == "revisit", F.concat_ws(":", "refers_to", "digest")))
+    targets = revisits.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    responses = found.where("record_type = 'response'").select(F.concat_ws(":", "page_id", "digest").alias("key"), "bytes", "sha1")
+    origin = targets.join(responses, "key").groupBy("key", "n").agg(F.max("bytes").alias("full"), F.max("sha1").alias("full_sha1"))
     origin = common.written(origin, "origins")
-    joined = found.join(common.small(origin), F.col("refers_to") == F.col("target"), "left")
-    return joined.select("page_id", F.coalesce("n", "full").alias("payload_bytes"), F.coalesce("sha1", "full_sha1").alias("payload_digest"), "record_type", "refers_to")
+    joined = common.salted_join(revisits, origin, "key", found.count(), F.xxhash64("page_id", "digest"), "left")
+    return joined.select("page_id", F.coalesce("bytes", "full").alias("payload_bytes"), F.coalesce("sha1", "full_sha1").alias("payload_digest"), "record_type", "refers_to")
