@@ -29,11 +29,13 @@ AGREES = 0.5
 LONG_PATH = 400
 
 # HTML element names by role.
-RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "math", "object", "select", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "object", "select", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "button"}
 CONTAINER = {"article", "body", "center", "div", "main", "section", "table", "tbody", "td", "tr", "html"}
 DROPPED = {"aside", "button", "dialog", "fieldset", "footer", "form", "head", "header", "menu", "nav", "search"}
+#: Elements whose class, id and role are judged: those that hold blocks, not blocks themselves.
+JUDGED = CONTAINER | {"ul", "ol", "dl", "details", "figure", "search"}
 #: What an open element of the first kind is ended by.
 ENDS = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
 
@@ -46,19 +48,64 @@ BOILER = re.compile(
 )
 #: Layout classes that only say whether there is a sidebar or the like.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[-_]\w+", re.I)
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_NEXT = re.compile(r"""=\s*["']|>""")
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=\s|$|/)""", re.I)
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """The generalised class part of a path, and whether the attributes mark boilerplate."""
+def _marks(attrs: str) -> tuple[str, bool, bool]:
+    """The generalised class part of a path, and whether the attributes hide the element or mark boilerplate."""
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)}
     words = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     classes = ".".join(sorted(re.sub(r"\d+", "0", c).lower() for c in found.get("class", "").split()))
-    return classes, hidden or bool(words.strip() and BOILER.search(_LAYOUT.sub("", _CAMEL.sub("-", words))))
+    return classes, hidden, bool(words.strip() and BOILER.search(_LAYOUT.sub("", _CAMEL.sub("-", words))))
+
+
+class Tags:
+    """Tags of a page in order, in time linear in its length: (start, end, closing, name, attributes); no name for comments.
+
+    A quoted value may hold a >. From the first tag on whose quote never ends, a tag ends at its first >.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.last = html, True, html.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """Place behind the tag whose name ends at a place; -1 if there is none."""
+        if at > self.last:
+            return -1
+        start = at
+        while self.quotes:
+            m = _NEXT.search(self.html, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            close = self.html.find(m[0][-1], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.quotes = False
+        return self.html.find(">", start) + 1
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The first tag from a place on."""
+        while m := _TAG.search(self.html, at):
+            if m[0] == "<!--":
+                close = self.html.find("-->", m.end())
+                return m.start(), close + 3 if close >= 0 else len(self.html), "", "", ""
+            if m[2] is None:
+                close = self.html.find(">", m.end())
+                return m.start(), close + 1 if close >= 0 else len(self.html), "", "", ""
+            end = self._end(m.end())
+            if end > 0:
+                return m.start(), end, m[1], m[2].lower(), self.html[m.end() : end - 1]
+            at = m.end()
+        return None
 
 
 class Page:
@@ -79,6 +126,7 @@ class Page:
         text: list[str] = []
         links, at, end = 0, 0, len(html)
         opened: Counter[str] = Counter()
+        tags, cleared = Tags(html), {0}
         linked = 0
 
         def flush() -> None:
@@ -93,21 +141,21 @@ class Page:
                 linked = 0
 
         while at < end:
-            m = _TAG.search(html, at)
-            if m is None:
+            found = tags.find(at)
+            if found is None:
                 text.append(html[at:])
                 break
-            if m.start() > at:
-                piece = html[at : m.start()]
+            begin, after, closing, tag, attrs = found
+            if begin > at:
+                piece = html[at:begin]
                 text.append(piece)
                 linked += len(piece) if links else 0
-            at = m.end()
-            if m[2] is None:
+            at = after
+            if not tag:
                 continue
-            closing, tag = m[1], m[2].lower()
             if tag in RAW:
-                if not closing and not m[3].endswith("/"):
-                    close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                if not closing and not attrs.endswith("/"):
+                    close = _CLOSE[tag].search(html, at)
                     at = close.end() if close else end
                 continue
             if tag == "a":
@@ -128,11 +176,15 @@ class Page:
                 continue
             while len(stack) > 1 and tag in ENDS.get(stack[-1][0], ()):
                 opened[stack.pop()[0]] -= 1
-            classes, boiler = _marks(m[3]) if m[3] else ("", False)
+            classes, hidden, boiler = _marks(attrs) if attrs else ("", False, False)
+            boiler = hidden or boiler and tag in JUDGED
             _, container, inside = stack[-1]
             if tag in ("h1", "main") and not inside and not boiler:
-                for _, c, _ in stack:
+                for _, c, _ in reversed(stack):  # what is around a cleared container is cleared
+                    if c in cleared:
+                        break
                     self.marked[c] = False
+                    cleared.add(c)
             if tag in CONTAINER:
                 above = self.paths[container]
                 if len(above) > LONG_PATH:
@@ -143,8 +195,10 @@ class Page:
                 # a page is never boilerplate as a whole
                 self.marked.append(boiler and tag not in ("html", "body"))
                 boiler = False
-            if not m[3].endswith("/"):
-                stack.append((tag, container, inside or boiler or tag in DROPPED))
+            if not attrs.endswith("/"):
+                # a header inside the article is the article's
+                dropped = tag in DROPPED and not (tag == "header" and (opened["article"] or opened["main"]))
+                stack.append((tag, container, inside or boiler or dropped))
                 opened[tag] += 1
         flush()
 
@@ -225,11 +279,11 @@ def host(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and path: what most of its pages vote for (ties: more text, then the smaller path)."""
-    votes = pages.where("host is not null").select("host", "html").mapInArrow(lambda it: _votes(common.trimmed(it)), "host string, path string, score long").where("path is not null")
+    """host, path and n: what most of its n pages vote for (ties: more text, then the smaller path)."""
+    votes = pages.where("host is not null").select("host", "html").mapInArrow(lambda it: _votes(common.trimmed(it)), "host string, path string, score long")
     summed = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    best = F.min_by("path", F.struct((-F.col("votes")).alias("a"), (-F.col("score")).alias("b"), F.col("path").alias("c")))
-    return summed.groupBy("host").agg(best.alias("path"))
+    order = F.struct((-F.col("votes")).alias("a"), (-F.col("score")).alias("b"), F.col("path").alias("c"))
+    return summed.groupBy("host").agg(F.min_by("path", F.when(F.col("path").isNotNull(), order)).alias("path"), F.sum("votes").alias("n"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -241,10 +295,12 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     common.ship(df.sparkSession)
     pages = common.pick(df, page_id=id_col, url=url_col, html=html_col).withColumn("host", host(F.col("url")))
     paths = common.written(host_paths(pages), "host_paths")
-    joined = pages.join(common.small(paths), "host", "left")
+    total = paths.agg(F.sum("n")).first()[0] or 0
+    joined = common.salted_join(pages, paths, "host", total, F.xxhash64("page_id", "url"), "left")
     rows = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path")
     return rows.mapInArrow(lambda it: _texts(common.trimmed(it)), "page_id long, url string, text string")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text (empty if none) and its length in code points."""
     return extract(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
