@@ -95,6 +95,9 @@ def test_archives_hold_what_was_written(spark, tmp_path):
         assert by_id[i].digest == hashlib.sha1((h or "").encode()).hexdigest()
         if by_id[i].record_type == "response":
             assert bytes(by_id[i].payload) == (h or "").encode()
+    heads = [head for f in index.select("file").distinct().collect() for head in gzip.GzipFile(fileobj=io.BytesIO((tmp_path / "warc" / f.file).read_bytes())).read().split(b"WARC/1.1\r\nWARC-Type: ")]
+    ids = [line for head in heads for line in head.split(b"\r\n") if line.startswith(b"WARC-Record-ID: ")]
+    assert len(ids) >= len(ROWS) and len(set(ids)) == len(ids)  # also where page ids repeat or lack
     some = warc.read(index.where("page_id in (4, 9)"), folder).collect()
     assert sorted(r.page_id for r in some) == [4, 9]
     # the files are gzip members that any reader can walk through, in the order of the index
@@ -107,6 +110,26 @@ def test_archives_hold_what_was_written(spark, tmp_path):
     assert warc.read(warc.write(pages(spark, []), folder), folder).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_warc_of_hot_payloads(spark, tmp_path, monkeypatch, broadcast):
+    """A third of all pages share one payload, a third are empty; one page id has two payloads."""
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT", 5)
+    rows = [(i, f"http://a/{i}", BIG if i % 3 == 0 else None if i % 3 == 1 else f"<p>{i}</p>") for i in range(300)]
+    rows += [(500, "http://b", "x" * 1000), (500, "http://b", "y" * 2000), (400, "http://b", "x" * 1000), (401, "http://b", "y" * 2000)]
+    path = str(tmp_path / "in")
+    pages(spark, rows).write.parquet(f"{path}/pages.parquet")
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op4_warc(spark, path).collect()), key=str)
+    want = []
+    for i, _, h in rows:
+        data = (h or "").encode()
+        first = max(j for j, _, g in rows if g == h)
+        revisit = len(data) >= 1000 and first != i
+        want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(want, key=str)
+
+
 def test_ranges_are_joined():
     rows = [("a", 0, 10, ""), ("a", 10, 5, ""), ("a", 15 + warc.GAP + 1, 5, ""), ("b", 0, 1, ""), ("b", 1, warc.READ, ""), ("b", 2 + warc.READ, 1, "")]
     assert [len(g) for g in warc._ranges(iter(rows))] == [2, 1, 1, 1, 1]

@@ -102,6 +102,27 @@ def test_quality_counts(spark):
     assert got[0].cleaned is None
 
 
+# Sentences of several scripts, with their own end marks only.
+SCRIPTS = {
+    "hi": "सुबह की रेलगाड़ी आज फिर देर से आई और सब लोग बात करते रहे।",
+    "ar": "هل وصل القطار في موعده اليوم أم تأخر مرة أخرى كما في الأمس؟",
+    "ur": "صبح کی گاڑی آج پھر دیر سے آئی اور سب لوگ باتیں کرتے رہے۔",
+    "am": "ጠዋት ባቡሩ ዛሬ እንደገና ዘግይቶ መጣ እና ሁሉም ሰዎች ተነጋገሩ።",
+    "my": "မနက် ရထား ဒီနေ့ လည်း နောက်ကျ ပြန် တယ် လူတွေ စကား ပြော ကြတယ်။",
+    "km": "ព្រឹក នេះ រថភ្លើង មក យឺត ម្តង ទៀត ហើយ មនុស្ស គ្រប់ គ្នា និយាយ។",
+    "hy": "Առավոտյան գնացքը այսօր նորից ուշացավ և բոլոր մարդիկ խոսում էին։",
+    "th": "รถไฟ ตอนเช้า มาสาย อีกแล้ว วันนี้ และ ทุกคน ก็ คุยกัน เรื่อง อากาศ",
+    "ja": "今朝 の 列車 は また 遅れ て 来た ので みんな 天気 の 話 を した。",
+    "el": "Το πρωινό τρένο άργησε πάλι σήμερα και όλοι μιλούσαν για τον καιρό;",
+}
+
+
+def test_end_marks_of_scripts(spark):
+    rows = [(i, "\n".join(f"{t} {t}" if j % 2 else t + " " + chr(0x61 + j) for j in range(3)), lang) for i, (lang, t) in enumerate(SCRIPTS.items())]
+    got = {r.lang: r for r in quality.judge(docs(spark, rows)).collect()}
+    assert {k: r.n_words_cleaned == r.n_words for k, r in got.items()} == dict.fromkeys(SCRIPTS, True)
+
+
 def test_quality_long_text(spark):
     text = " ".join(f"w{i}." for i in range(60_000)) + " " + " ".join(f"w{i}." for i in range(100))
     r = quality.judge(docs(spark, [(1, text, None)])).first()
@@ -216,7 +237,7 @@ def test_host_paths_win_over_a_page_that_is_odd(spark):
     rows = [(i, f"https://h.org/{i}", f"<body>{story}</body>") for i in range(6)] + [(9, "https://h.org/9", f"<body>{story.replace('goes on for a while', 'x', 0)}{side}</body>")]
     got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
     assert "teaser" not in got[9] and got[9].count("story") == 8
-    assert [tuple(r) for r in html.host_paths(pages(spark, rows).withColumn("host", html.host(html.F.col("url")))).collect()] == [("h.org", "/body/div.story")]
+    assert [tuple(r) for r in html.host_paths(pages(spark, rows).withColumn("host", html.host(html.F.col("url")))).collect()] == [("h.org", "/body/div.story", 7)]
 
 
 @pytest.mark.parametrize("classes", ["layout has-sidebar", "content-sidebar-wrap", "page with-header noSidebar", "site-header-fixed"])
@@ -259,6 +280,32 @@ def test_title_and_lead_outside_the_body_stay(spark, page, outside):
         assert r.text.count("goes on") == page.count("goes on")
 
 
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ("<h2 class=legal>Legal matters</h2><p class='comment'>A remark.</p><p class=tags>Of tags.</p><p class=contact>Write to them.</p><p class=feedback>They heard back.</p>", "Legal matters\nA remark.\nOf tags.\nWrite to them.\nThey heard back."),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.</p>", "Let x=1 be so."),
+        ("<header><h1>The title</h1><p>By line</p></header><p>Text.</p>", "The title\nBy line\nText."),
+        ("""<p title="a > b">One</p><p title='it"s > c' class="x">Two</p><p title=it's>Three</p>""", "One\nTwo\nThree"),
+    ],
+)
+def test_article_parts_stay(inside, want):
+    assert html.Page(f"<body><header>Site</header><nav>Menu</nav><article>{inside}</article><footer>End</footer></body>").text(None) == want
+
+
+def test_open_quotes_leave_no_markup():
+    assert html.Page("""<body><article><p title="it's>One</p><p class='x'>Two</p></article></body>""").text(None) == "One\nTwo"
+
+
+@pytest.mark.parametrize("piece", ["<p title=\"", "<a href='x", "<a b=\">\" ", "<p title=\"it's>", "<!--", "<div class=\"a", "<h1>", "<div><h1>x", "<script>", "<a \"", "</p"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    html.Page("<body><article><p>Text</p>" + piece * (1_000_000 // len(piece)))
+    assert time.time() - began < (1.5 if "title" in piece or "href" in piece else 5)
+
+
 # ---- pipeline
 
 

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemill.llm import binary, packing, sentencepiece, tokens
+from tidemill.llm.queries import queries
 
 ODD = ["<|endoftext|> a", "a b c\td\x1ce", "É é ́x  don't'll Σας'S \n\n\r x", "", "   ", "ab<|startoftext|>cd 123 İ", "Ǆ ǅungla J̌a ΑΣ ΑΣ, İstanbul! ﬁne ｆｕｌｌ ªº 中文。 ٣ Ⅷ", "x" * 5000 + "!" * 300, "a.b,c;; ..", " x y\u0085z"]
 
@@ -106,6 +107,14 @@ def test_file_round_trip():
         assert positions[seq, off : off + n].tolist() == list(range(n))
 
 
+def test_wide_ids_stay_whole():
+    ids = [np.array([1, 70_000, 65_535], "<u4"), np.array([2, 3], "<u4")]
+    pieces, sequences = binary.best_fit([3, 2], 4)
+    matrix, _, _ = binary.decode_file(binary.encode_file(ids, pieces, sequences, 4))
+    assert sorted(x for row in matrix.tolist() for x in row if x) == [1, 2, 3, 65_535, 70_000]
+    assert binary.decode_file(binary.encode_file(ids[1:], *binary.best_fit([2], 4), 4))[0].dtype == np.dtype("<u2")
+
+
 def docs(spark, rows):
     """With other columns whose names clash with the results'."""
     return spark.createDataFrame([(i, t, 7, "x", 1.0) for i, t in rows], "doc_id long, text string, length int, ids string, score double")
@@ -129,13 +138,61 @@ def test_packing_of_a_table(spark, words):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
-def test_binary_of_a_table(spark, tmp_path):
+def check_pieces(pieces, rows, words):
+    """Each document's ids, cut and placed anyhow, are the tokenizer's own and an end id; checksums are those of the ids."""
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append([*words.tokenizer.encode(t or "", add_special_tokens=False).ids, 1])
+    by_doc = {}
+    for i, _, start, length, crc, total in pieces:
+        by_doc.setdefault(i, []).append((start, length, crc, total))
+    assert set(by_doc) == set(want)
+    for i, parts in by_doc.items():
+        ids = {len(x): x for x in want[i]}
+        assert sum(n for _, n, _, _ in parts) == sum(map(len, want[i]))
+        for start, n, crc, total in parts:
+            assert crc == zlib.crc32(np.array(ids[total][start : start + n], "<u4").tobytes())
+
+
+@pytest.mark.parametrize("name", ["op6_binary", "op10_packing"])
+def test_registered_packing_queries(spark, sf_dir, words, name):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = queries()[name](spark, sf_dir).collect()
+    check_pieces([(r.doc_id, None, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got], rows, words)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id if name == "op10_packing" else (r.file, r.row), []).append((r.offset, r.length))
+    fill = []
+    for parts in places.values():
+        at = 0
+        for off, n in sorted(parts):
+            assert off == at
+            at += n
+        assert at <= 2048
+        fill.append(at)
+    if name == "op10_packing":
+        assert all(n == 2048 or n & (n - 1) == 0 for n in fill)
+
+
+def test_registered_sentencepiece_query(spark, sf_dir, model):
+    """Digests of the registered query against the codec's own ids and texts."""
+    codec = sentencepiece.Codec(model)
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries()["op1_sentencepiece"](spark, sf_dir).collect()
+    assert {r.doc_id for r in got} == set(rows)
+    for r in got:
+        [ids] = codec.encode_all([rows[r.doc_id] or ""])
+        assert r.n_ids == len(ids) and r.ids_crc32 == zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def test_binary_of_a_table(spark, tmp_path, words):
     folder = f"file://{tmp_path}/out"
     found = binary.read(binary.write(docs(spark, CASES), folder), folder).collect()
     packed = packing.digest(packing.pack(docs(spark, CASES))).collect()
     assert all(r.sound for r in found)
     assert {(r.doc_id, r.doc_tokens) for r in found} == {(r.doc_id, r.doc_tokens) for r in packed}
     assert sum(r.length for r in found) == sum(r.length for r in packed)
+    check_pieces([[r.doc_id, t, r.start, r.length, r.ids_crc32, r.doc_tokens] for r in found for t in [None]], CASES, words)
     assert binary.read(binary.write(docs(spark, []), folder), folder).count() == 0
 
 
