@@ -29,17 +29,68 @@ def test_languages_held_out(spark, sf_dir):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
-def test_kernel_is_the_plain_one():
-    texts = ["Ab, ab! c", "xyz", "ab  c\nq"]
-    seen = langid.presence(texts)
-
-    def grams(text):
-        clean = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
-        return {clean[i : i + n] for n in range(langid.N_MIN, langid.N_MAX + 1) for i in range(len(clean) - n + 1)}
-
-    for i in range(3):
-        for j in range(3):
-            assert abs(int((seen[i] & seen[j]).sum()) - len(grams(texts[i]) & grams(texts[j]))) <= 1  # but for hash collisions
+def plain_grams(text):
+    clean = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+    return {clean[i : i + n] for n in range(langid.N_MIN, langid.N_MAX + 1) for i in range(len(clean) - n + 1)}
+
+
+def sample_texts(spark, sf_dir, n):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and length(text) between 20 and 20000").orderBy("doc_id").limit(n).collect()
+    return [r.text for r in rows], [r.lang for r in rows]
+
+
+def test_kernel_is_the_plain_one(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 50)
+    texts = ["Ab, ab! c", "xyz", "ab  c\nq", "Ωa ωA 日本語 x1y", *sample_texts(spark, sf_dir, 30)[0]]
+    keys, plain = [langid.grams(t) for t in texts], [plain_grams(t) for t in texts]
+    for a, b in zip(keys, plain):
+        assert len(a) == len(b) and all(x < y for x, y in zip(a[:-1], a[1:]))
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(keys[i], keys[j])) == len(plain[i] & plain[j])
+
+
+def test_ridge_against_brute_force(spark, sf_dir, monkeypatch):
+    """The model's scores are those of a ridge regression written out with Python sets and one normal equation a language."""
+    texts, langs = sample_texts(spark, sf_dir, 120)
+    new = sample_texts(spark, sf_dir, 160)[0][120:]
+    monkeypatch.setattr(langid, "LANDMARKS", 5)
+    model = langid.fit_texts(texts, langs)
+    languages = sorted(set(langs))
+    assert model.languages == languages and len(languages) > 2
+    marks = [t for x in languages for t in [t for t, y in zip(texts, langs) if y == x][:5]]
+    sets = {t: plain_grams(t) for t in [*texts, *new]}
+    kernel = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    feature = lambda t: np.append(np.array([kernel(t, m) for m in marks]) @ vectors / np.sqrt(values), 1.0)
+    x = np.array([feature(t) for t in texts])
+    share = np.diag([1 / langs.count(y) for y in langs])
+    f = []
+    for language in languages:
+        target = np.array([1.0 if y == language else -1.0 for y in langs])
+        w = np.linalg.solve(x.T @ share @ x + langid.RIDGE * np.eye(x.shape[1]), x.T @ share @ target)
+        f.append([feature(t) @ w for t in new])
+    f = np.array(f).T
+    labels, scores = model.decide(new)
+    assert labels == [languages[i] for i in f.argmax(axis=1)]
+    assert np.allclose(scores, np.clip((f.max(axis=1) + 1) / 2, 0, 1), atol=1e-6)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than landmarks and sample, and one whose texts all are long."""
+    monkeypatch.setattr(langid, "TOTAL_SAMPLE", 10)
+    monkeypatch.setattr(langid, "TOTAL_LANDMARKS", 12)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 500)
+    alphabet = [chr(0x4E00 + i) for i in range(400)]
+    word = lambda k, j: "".join(alphabet[(k * 20 + j * 7 + i) % 20 + k * 20] for i in range(4))
+    rows = [(100 * k + j, " ".join(word(k, j + i) for i in range(8 if k else 300)), f"l{k:02}") for k in range(20) for j in range(3)]
+    model = langid.fit(docs(spark, rows))
+    assert model.languages == [f"l{k:02}" for k in range(20)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs(spark, rows), model, keep=["doc_id"]).collect()}
+    own = set(range(0, 20))
+    right = {k for k in own if all(got[100 * k + j] == f"l{k:02}" for j in range(3))}
+    assert len(right) >= 12  # those with a landmark; scripts here share nothing
 
 
 def test_language_edges(spark):
