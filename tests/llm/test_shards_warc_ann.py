@@ -63,6 +63,33 @@ def test_pairs_stay_whole_beside_a_hot_group(spark, paired):
     assert sum(len(s) > 1 for s in pairs) <= (0 if paired < 10 else 28)  # without free rows, at most one for two shards
 
 
+@pytest.mark.parametrize(
+    "group, forced",
+    [
+        (lambda i: f"pair {i // 2}", 0),  # 500 pairs a shard
+        (lambda i: f"five {i // 5}", 0),  # 200 groups a shard
+        (lambda i: f"seven {i // 7}", 7),  # 1000 is no multiple of 7: an end of a shard cuts one
+        (lambda i: "copy" if i % 3 == 0 else f"pair {i // 3}", 8),  # a third needs three shards; an end of a shard cuts one
+    ],
+)
+def test_groups_are_cut_only_where_the_counts_force_it(spark, group, forced):
+    rows = [(i, group(i)) for i in range(8000)]
+    got = sharding.shard(sharding.equal_texts(docs(spark, rows))).collect()
+    check_shards(got)
+    text, where = dict(rows), {}
+    for r in got:
+        where.setdefault(text[r.id], set()).add(r.shard)
+    assert sum(len(s) > 1 for s in where.values()) <= forced
+    assert len(where.get("copy", ())) in (0, 3, 4)
+
+
+def test_one_repeated_row_is_split(spark):
+    """Rows that are equal in every column, id and all, are dealt like any others."""
+    got = sharding.shard(sharding.equal_texts(docs(spark, [(1, "same")] * 900 + [(i, f"text {i}") for i in range(2, 1802)]))).collect()
+    check_shards(got)
+    assert len({r.shard for r in got if r.id == 1}) <= 4
+
+
 def test_shard_edges(spark):
     rows = [(1, None), (2, None), (3, ""), (3, ""), (None, "a"), (None, "a"), (4, "b" * 100_000)]
     got = sharding.shard(sharding.equal_texts(docs(spark, rows))).collect()

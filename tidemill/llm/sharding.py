@@ -3,8 +3,12 @@
 Documents that share a link group start in shards dealt by a hash; in each turn a cut group moves as a whole to the shard that
 holds most of it among those with room for the rest, or to another with room for all; a group that fits no shard moves in
 parts towards the shard that holds most of it. Where no room is left, cut groups exchange parts of equal rows. Documents
-move in cells (group, first shard, salt), so a group with a third of all rows is a bounded number of cells. Unlinked documents then
-fill the rest, which makes the row counts exact: law `rows`, counts at most one apart.
+move in cells (group, first shard, salt), so a group with a third of all rows is a bounded number of cells.
+
+Large groups settle first, within the quotas; the others then come together within quotas that are twice what is left. What
+a shard then holds too much leaves it in the order of groups, and is put, in that order, where there is room: whole
+groups again, but for those that stand at a shard's end. Unlinked documents fill the rest, which makes the row counts
+exact: law `rows`, counts at most one apart.
 
 Positions (slots) come from bucket counts and a row number within each bucket, never from one global sort.
 """
@@ -17,8 +21,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS = 8
-#: Cells that one group's members in one shard are dealt to.
-SALTS = 64
+#: Cells that one group's members in one shard are dealt to: so many, or one for so many rows of a shard.
+SALTS, CELL_ROWS = 24, 1 << 20
+#: A group is large if it has more than one in this many of a shard's rows: there are fewer than shards * LARGE.
+LARGE = 64
 #: Steps in which requests for a shard are admitted, and the numbers that are dealt to them.
 STEPS, DRAWS = 1024, 1 << 30
 #: Cut groups that are numbered together, about, to exchange parts.
@@ -39,7 +45,7 @@ def _share(name: str, n: int, *cols: Column | str) -> Column:
 def _cells(rows: DataFrame, shards: int) -> DataFrame:
     """Members of groups of two or more: group, first shard, salt, rows."""
     cells = rows.groupBy("grp", "first", "salt").agg(F.count("*").alias("n"))
-    per_group = Window.partitionBy("grp")  # at most shards * SALTS cells each
+    per_group = Window.partitionBy("grp")  # at most shards * salts cells each
     return cells.withColumn("size", F.sum("n").over(per_group)).where("size > 1")
 
 
@@ -53,7 +59,7 @@ def _asked(cells: DataFrame, room: list[int], total: int, turn: int) -> DataFram
     shards = len(room)
     room_of = lambda label: F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), label + 1)
     parts = cells.groupBy("grp", "label").agg(F.sum("n").alias("held"), F.first("size").alias("of"))
-    alone = F.col("of") * STEPS > F.lit(total) / shards
+    alone = F.col("of") * LARGE > F.lit(total) / shards
     # a group that moves cell by cell leaves a shard alone that is all but full, and goes to its next best
     least = F.when(alone, F.greatest(F.lit(1.0), F.lit(total) / shards / ROOM)).otherwise(F.lit(1.0))
     order = F.struct("held", F.xxhash64(F.lit(turn), "grp", "label").alias("t"), "label")
@@ -133,14 +139,17 @@ def _settle(cells: DataFrame, caps: list[int], total: int) -> DataFrame:
     return cells
 
 
-def _numbered(rows: DataFrame, pool: Column, bucket: Column) -> DataFrame:
-    """Adds pos: gapless from 0 within each pool, in the order of buckets."""
-    rows = rows.withColumns({"pool": pool, "bucket": bucket})
+def _numbered(rows: DataFrame, pool: Column) -> DataFrame:
+    """Adds pos: gapless from 0 within each pool; large groups first, then the others, then unlinked rows, groups side by side;
+    and last: the pos of its group's last row."""
+    rows = rows.withColumn("pool", pool)
     sizes = rows.groupBy("pool", "bucket").agg(F.count("*").alias("k"))
     before = Window.partitionBy("pool").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("pool", "bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("pool", "bucket").orderBy("grp", "salt", "id", "size", "crc")
-    return rows.withColumn("r", F.row_number().over(within)).join(offsets, ["pool", "bucket"]).withColumn("pos", F.col("offset") + F.col("r") - 1).drop("r", "offset", "pool", "bucket")
+    within = Window.partitionBy("pool", "bucket").orderBy("grp", "salt", "row")
+    rows = rows.withColumn("r", F.row_number().over(within)).withColumn("end", F.max("r").over(Window.partitionBy("pool", "bucket", "grp")))
+    rows = rows.join(offsets, ["pool", "bucket"]).withColumns({"pos": F.col("offset") + F.col("r") - 1, "last": F.col("offset") + F.col("end") - 1})
+    return rows.drop("r", "end", "offset", "pool")
 
 
 def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -149,37 +158,43 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     Equal groups come together as far as equal row counts let them. Null ids and repeated rows are rows like any
     other; an empty table gives no rows; fewer rows than shards leave shards empty.
     """
-    rows = rows.withColumns({"salt": _share("salt", SALTS, "id", "size", "crc"), "first": _share("first", shards, "id", "size", "crc")})
-    rows = common.written(rows, "rows")
     total = rows.count()
+    salts = max(SALTS, total // shards // CELL_ROWS)
+    # a number of its own for each row, so that repeated rows are dealt like any others; it is drawn once, in the written table
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = common.written(rows.withColumns({"salt": _share("salt", salts, "row"), "first": _share("first", shards, "row")}), "rows")
     caps = [total // shards + (s < total % shards) for s in range(shards)]
     cells = common.written(_cells(rows.where("grp is not null"), shards).withColumn("label", F.col("first")), "cells")
-    cells = _settle(cells, caps, total)
-    linked = cells.select("grp", "first", "salt", F.col("label"))
+    large = F.col("size") * LARGE > F.lit(total) / shards
+    big = _settle(common.written(cells.where(large), "large"), caps, total)
+    spare = [max(0, r) for r in _room(big, caps)]
+    small = _settle(common.written(cells.where(~large), "small"), [2 * r for r in spare], total)
+    linked = big.unionByName(small).select("grp", "first", "salt", "label", large.alias("large"))
     placed = rows.join(linked, ["grp", "first", "salt"], "left")
     buckets = max(4, total // shards // BUCKET_ROWS)
+    # large groups in a bucket for each salt; they come first, so that the others make room for them
+    at_large = F.shiftleft(_share("large", 1 << 30, "grp").cast("long"), 24) + F.col("salt")
+    among = lambda base, n, *cols: F.lit(base).cast("long") + F.pmod(F.xxhash64(F.lit("bucket"), *cols), F.lit(n))
+    bucket = F.when(F.col("label").isNull(), among(1 << 61, buckets * shards, "row")).when(F.col("large"), at_large).otherwise(among(1 << 60, buckets, "grp"))
     # pools: the linked rows of each shard, then all others
     pool = F.coalesce(F.col("label"), F.lit(shards))
-    spread_pool = F.when(F.col("label").isNull(), shards).otherwise(1)
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.when(F.col("label").isNull(), F.xxhash64("id", "size", "crc")).otherwise(F.xxhash64("grp", "salt"))), F.lit(buckets) * spread_pool)
-    placed = common.written(_numbered(placed, pool, bucket), "placed")
+    placed = common.written(_numbered(placed.withColumn("bucket", bucket), pool), "placed")
     cap = F.element_at(F.array(*[F.lit(c).cast("long") for c in [*caps, 0]]), pool + 1)
-    over = F.col("label").isNotNull() & (F.col("pos") >= cap)
-    counts = {r["label"]: r["n"] for r in placed.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    have = [min(counts.get(s, 0), caps[s]) for s in range(shards)]
+    # a large group is cut where its shard ends; others leave it as a whole
+    over = F.col("label").isNotNull() & (F.when(F.col("large"), F.col("pos")).otherwise(F.col("last")) >= cap)
+    counts = {r["label"]: r for r in placed.where("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(over, 1)).alias("over")).collect()}
+    have = [counts[s]["n"] - counts[s]["over"] if s in counts else 0 for s in range(shards)]
     free = [caps[s] - have[s] for s in range(shards)]
     settled = placed.where(F.col("label").isNotNull() & ~over).select("*", F.col("label").alias("shard"), F.col("pos").alias("slot"))
     rest = placed.where(F.col("label").isNull() | over)
-    if any(counts.get(s, 0) > caps[s] for s in range(shards)):  # chance overfilled a shard at the start: those rows wait with the others
-        rest = _numbered(rest.drop("pos"), F.lit(0), F.pmod(F.xxhash64("id", "size", "crc", "salt"), F.lit(buckets * shards)))
-    shard_of, slot_of, at = F.lit(shards - 1), F.lit(0).cast("long"), sum(free)
-    for s in reversed(range(shards)):
-        at -= free[s]
-        here = F.col("pos") >= at
-        if s < shards - 1:
-            here = here & (F.col("pos") < at + free[s])
+    if any(r["over"] for r in counts.values()):  # what shards hold too much comes before unlinked rows
+        rest = _numbered(rest.drop("pos", "last"), F.lit(0))
+    shard_of, slot_of, at = F.lit(0), F.lit(0).cast("long"), 0
+    for s in sorted(range(shards), key=lambda s: -free[s]):  # so that few groups meet an end
+        here = (F.col("pos") >= at) & (F.col("pos") < at + free[s])
+        at += free[s]
         shard_of = F.when(here, s).otherwise(shard_of)
-        slot_of = F.when(here, F.col("pos") - at + have[s]).otherwise(slot_of)
+        slot_of = F.when(here, F.col("pos") - (at - free[s]) + have[s]).otherwise(slot_of)
     return settled.unionByName(rest.select("*", shard_of.cast("int").alias("shard"), slot_of.alias("slot"))).select("id", "grp", "size", "crc", "shard", "slot")
 
 
@@ -192,5 +207,6 @@ def equal_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7, equal texts together as far as the row counts let them."""
     found = shard(equal_texts(common.table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
