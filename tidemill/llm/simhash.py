@@ -128,7 +128,8 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "whole", "row")
     found = rooted(common.written(rows.groupBy("fp").agg(F.min(order).alias("first")), "classes"))
     first = common.written(found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "first")
-    return rows.join(common.small(first), "row", "left_semi").select(*plain.columns).toDF(*df.columns)
+    # a hash join builds on the numbers, so the texts are shuffled but not sorted
+    return rows.join(first.hint("shuffle_hash"), "row", "left_semi").select(*plain.columns).toDF(*df.columns)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -136,5 +137,6 @@ def hex_digits(fp: Column) -> Column:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component. Null and blank texts have fingerprint zero; a component without an id is null."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
