@@ -240,6 +240,20 @@ def test_sentencepiece_as_the_library(model, library, spark, sf_dir):
             assert model.scores[ids].sum() == pytest.approx(model.scores[want].sum(), abs=1e-3), text
 
 
+def test_long_words_are_quick_and_the_same(model, monkeypatch):
+    import time
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghij"), 3000)), "x" * 5000, "word " * 50 + "é日" * 700]
+    quick = [x.tolist() for x in sentencepiece.Codec(model).encode_all(texts)]
+    monkeypatch.setattr(sentencepiece, "FEW", 1)
+    assert [x.tolist() for x in sentencepiece.Codec(model).encode_all(texts)] == quick
+    monkeypatch.undo()
+    codec, began = sentencepiece.Codec(model), time.time()
+    [ids] = codec.encode_all(["".join(rng.choice(list("abcdefghij"), 1_000_000))])
+    assert time.time() - began < 15 and len(codec.decode(ids)) == 1_000_000
+
+
 def test_sentencepiece_decodes_what_it_encodes(model):
     codec = sentencepiece.Codec(model)
     for text, ids in zip(TEXTS, codec.encode_all(TEXTS)):

@@ -203,5 +203,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op6_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into files and read back: a row per piece. Null and empty texts are the end id alone; repeated rows
+    are packed each for itself, null ids stay null."""
     folder = common.new_folder(spark, "packed")
     return read(write(common.table(spark, sf_dir, "documents"), folder), folder)

@@ -137,4 +137,5 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces. Null and empty texts are the end id alone; repeated rows are packed each for itself, null ids stay null."""
     return digest(pack(common.table(spark, sf_dir, "documents")))

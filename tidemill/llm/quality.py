@@ -153,5 +153,6 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict. Null and blank texts have no words and fail; repeated rows get the same result."""
     docs = common.pick(common.table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -30,6 +30,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs below the least score.
 UNKNOWN_PENALTY = 10.0
+#: Edges (or open words) below which a level is walked edge by edge.
+FEW = 32
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 1_000_000
 
@@ -221,10 +223,10 @@ class Codec:
         back = np.full(total + 1, -1, np.int64)
         begins = np.zeros(total + 1, bool)
         begins[ends - size] = True
-        cut = np.flatnonzero(np.diff(level)) + 1
-        for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(level))):
-            if a == b:
-                continue
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
+        wide = np.flatnonzero(np.diff(edges) >= FEW)
+        narrow = int(wide[-1]) + 1 if len(wide) else 0  # from here on levels hold little: long words, edge by edge
+        for a, b in zip(edges[:narrow], edges[1 : narrow + 1]):
             here = np.where(begins[s[a:b]], 0.0, best[s[a:b]]) + score[a:b]
             group = np.flatnonzero(np.concatenate([[True], e[a + 1 : b] != e[a : b - 1]]))
             top = np.maximum.reduceat(here, group)
@@ -232,13 +234,29 @@ class Codec:
             first = np.minimum.reduceat(np.where(wins, np.arange(a, b), len(level)), group)
             best[e[a + group]] = top
             back[e[a + group]] = first
+        at = int(edges[narrow])
+        if at < len(level):
+            begin, value, came = begins.tolist(), best.tolist(), back.tolist()
+            for i, start, end, x in zip(range(at, len(level)), s[at:].tolist(), e[at:].tolist(), score[at:].tolist()):
+                x = x if begin[start] else x + value[start]
+                if x > value[end]:
+                    value[end], came[end] = x, i
+            back = np.array(came, np.int64)
         used = np.zeros(len(s), bool)
         tip = ends[size > 0]
-        while len(tip):
+        while len(tip) >= FEW:
             edge = back[tip]
             used[edge] = True
             tip = s[edge]
             tip = tip[~begins[tip]]
+        if len(tip):
+            came, start, begin = back.tolist(), s.tolist(), begins.tolist()
+            for end in tip.tolist():
+                while True:
+                    used[came[end]] = True
+                    end = start[came[end]]
+                    if begin[end]:
+                        break
         s, e, p = s[used], e[used], p[used]
         order = np.argsort(s, kind="stable")
         s, e, p = s[order], e[order], p[order]
@@ -371,7 +389,10 @@ def model_path() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: ids (number, byte pieces, CRC-32 as little-endian uint32), their log score, and whether decoding them gives the text."""
+    """Per document: ids (number, byte pieces, CRC-32 as little-endian uint32), their log score, and whether decoding them gives the text.
+
+    Null and empty texts have no ids and score 0; repeated rows get the same result, null ids stay null.
+    """
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = load(model_path())
     shared = spark.sparkContext.broadcast(model)
