@@ -28,10 +28,13 @@ from . import common
 #: Vectors that the rotations are fitted on and queries whose true neighbours set the parameters, at most about.
 SAMPLE, CALIBRATE = 2048, 256
 #: Share of true neighbours that probing has to meet, and of these the share that the radius has to keep.
-TARGET, WITHIN = 0.96, 0.985
+TARGET, WITHIN = 0.96, 0.975
 #: Bits that substrings are taken from, at most; bits that the Hamming check compares (as longs).
-POOL, CHECK = 2560, 256
+POOL, CHECK = 2560, 512
 NEAREST = 5
+#: Bits of a substring, at least; a query's probes of a substring have to leave out all but one in so many of its values, so that the
+#: index is one at every size.
+SHORTEST, SELECTIVE = 8, 16
 #: Probes of one substring, at most; what a shuffled row costs beside a pair of rows that meet.
 PROBES, SHUFFLED = 600, 6
 INDEX_BLOCK, QUERY_BLOCK = 16384, 2048
@@ -90,12 +93,12 @@ def calibrate(index: Index, queries: np.ndarray, neighbours: np.ndarray, rows: i
     a, b = index.signs(queries), index.signs(neighbours)
     index.radius = int(np.quantile((a != b)[:, :CHECK].sum(axis=1), WITHIN, method="higher"))
     best, pool, log = None, a.shape[1], max(3, int(np.log2(max(rows, 2))))
-    for bits in sorted({min(30, pool, max(2, log - k)) for k in (8, 6, 5, 4, 3, 2, 1, 0)}):
+    for bits in sorted({min(30, pool, max(SHORTEST, log - k)) for k in (6, 5, 4, 3, 2, 1, 0)}):
         parts = pool // bits
         apart = (a != b)[:, : parts * bits].reshape(len(a), parts, bits).sum(axis=2)
         for flips in range(bits + 1):
             probes = sum(comb(bits, k) for k in range(flips + 1))
-            if probes > PROBES:
+            if probes > PROBES or probes * SELECTIVE > 2**bits:
                 break
             met = np.maximum.accumulate(apart <= flips, axis=1).mean(axis=0)
             enough = np.flatnonzero(met >= TARGET)
