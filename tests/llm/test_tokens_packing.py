@@ -40,6 +40,25 @@ def test_cache_starts_anew_without_changing_ids(words, monkeypatch):
     assert [x.tolist() for x in words.encode_all(ODD)] == before
 
 
+def test_letters_go_through_the_model_once(monkeypatch):
+    w = tokens.WordTokenizer(tokens.word_tokenizer_path())
+    seen = []
+    whole = w._model
+    monkeypatch.setattr(w, "_model", lambda pieces: seen.extend(pieces) or whole(pieces))
+    texts = ["Word word, WORD!! word\nthe \u00c9t\u00e9 \u00e9t\u00e9.", "the Word; <|x|> \u00c9T\u00c9"]
+    want = [w.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in w.encode_all(texts)] == want
+    assert sorted(seen) == ["the", "word", "\u00e9t\u00e9"]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 10)
+    w._clear()
+    assert [x.tolist() for x in w.encode_all(texts)] == want
+    w.last[:] = False  # a model that doesn't mark the ends of words
+    w._clear()
+    w._forget_pieces()
+    assert [x.tolist() for x in w.encode_all(texts)] == want
+
+
 def sound(lengths, pieces):
     """Every token in one piece, pieces side by side in their sequences."""
     by_doc, by_seq = {}, {}
@@ -81,6 +100,16 @@ def test_costs_are_balanced():
     assert packing.assign([], 16) == []
 
 
+def test_cuts_do_not_reopen_every_sequence(monkeypatch):
+    """Moves between the heaps grow with the pieces, not with pieces times sequences."""
+    lengths = np.minimum(np.random.RandomState(1).lognormal(6.2, 1, 2000).astype(int) + 1, 20_000).tolist()
+    popped, pop = [], packing.heapq.heappop
+    monkeypatch.setattr(packing.heapq, "heappop", lambda heap: popped.append(1) or pop(heap))
+    pieces = packing.assign(lengths)
+    sound(lengths, pieces)
+    assert len(popped) < 4 * len(pieces)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 60), max_size=60))
 def test_best_fit_is_what_a_plain_search_finds(lengths):

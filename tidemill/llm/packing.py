@@ -3,7 +3,7 @@
 Attention makes a piece of n tokens cost ``linear * n + quadratic * n * n``. Within a window of documents the pieces
 go, in descending length, to the sequence that is cheapest so far among those with room. A window has exactly as much
 capacity as tokens: full sequences, and one sequence for each power of two in the rest, which needs no padding. What
-fits nowhere is cut at the room that is left.
+fits nowhere is cut at the room that is left, and the rest of it goes when its length's turn comes.
 
 Windows never leave their task: nothing is shuffled, and a lost task's windows are packed again, alone.
 """
@@ -49,12 +49,12 @@ def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
             pieces.append((i, k * capacity, capacity, used, 0))
             used += 1
         if tail:
-            items.append((tail, i, full * capacity))
+            items.append((-tail, i, full * capacity))
     room = [0] * used + [capacity] * (whole - used) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
     size = list(room)
     cost = [0.0] * len(room)
     open_, parked = [(0.0, s) for s in range(used, len(room))], []  # parked: too little room for the present length
-    items.sort(key=lambda x: (-x[0], x[1]))
+    heapq.heapify(items)
 
     def put(i: int, start: int, n: int, s: int) -> None:
         pieces.append((i, start, n, s, size[s] - room[s]))
@@ -63,21 +63,22 @@ def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
         if room[s]:
             heapq.heappush(open_, (cost[s], s))
 
-    for n, i, start in items:
-        while n:
-            while parked and -parked[0][0] >= n:
-                _, s = heapq.heappop(parked)
-                heapq.heappush(open_, (cost[s], s))
-            while open_ and room[open_[0][1]] < n:
-                _, s = heapq.heappop(open_)
-                heapq.heappush(parked, (-room[s], s))
-            if open_:
-                put(i, start, n, heapq.heappop(open_)[1])
-                break
-            _, s = heapq.heappop(parked)  # cut: fill the sequence with the most room
+    while items:
+        n, i, start = heapq.heappop(items)
+        n = -n
+        while parked and -parked[0][0] >= n:
+            _, s = heapq.heappop(parked)
+            heapq.heappush(open_, (cost[s], s))
+        while open_ and room[open_[0][1]] < n:
+            _, s = heapq.heappop(open_)
+            heapq.heappush(parked, (-room[s], s))
+        if open_:
+            put(i, start, n, heapq.heappop(open_)[1])
+        else:  # cut: fill the sequence with the most room; the rest waits until it is the longest
+            _, s = heapq.heappop(parked)
             part = room[s]
             put(i, start, part, s)
-            start, n = start + part, n - part
+            heapq.heappush(items, (part - n, i, start + part))
     return pieces
 
 
